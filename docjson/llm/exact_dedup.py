@@ -52,7 +52,9 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
         .drop("_variants")
     )
     # Repeated (id, text) rows are counted, so that exactly one of them can be the one that stays.
-    ids = rows.groupBy("doc_id", "_h", "text_sha256").agg(F.count(F.lit(1)).alias("_n"))
+    # They are dealt by id: dealt by hash, a large group would be one task's, with a count above that forbids splitting it.
+    light = rows.select("doc_id", "_h", "text_sha256").repartition("doc_id")
+    ids = light.groupBy("doc_id", "_h", "text_sha256").agg(F.count(F.lit(1)).alias("_n"))
     return (
         ids.join(groups, ["_h", "text_sha256"], "left")
         .select(
