@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 
 def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """One row per row of ``docs`` with the group of byte-equal texts it belongs to.
@@ -77,22 +79,17 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 def drop_exact_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """``docs`` with one row left of each group of byte-equal texts; all columns stay.
 
-    The row that stays is the one of the smallest (or largest) ``doc_id``. Only the id and the two hashes of the rows
-    that go are joined against the table. Rows repeated with the same id and text collapse to one.
+    The row that stays is the one of the smallest (or largest) ``doc_id``. Only the ids and hashes of the rows that go are
+    joined against the table. Rows repeated with the same id and text collapse to one.
     """
-    losers = exact_groups(docs, keep).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")
-    )
-    gone = losers.filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_id", "_sha").distinct()
+    lost = materialise(exact_groups(docs, keep).filter(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"), "copies")
+    itself = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = lost.filter(~itself).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (sha == gone["_sha"]), "left_anti")
-    return _drop_repeats(out, losers)
-
-
-def _drop_repeats(docs: DataFrame, losers: DataFrame) -> DataFrame:
-    """Of rows that repeat an id and text, one: the others are found by id among the few that lost to themselves."""
-    again = losers.filter(F.col("_id").eqNullSafe(F.col("_keep"))).select("_id").distinct()
+    again = lost.filter(itself).select(F.col("doc_id").alias("_id")).distinct()
+    if again.isEmpty():
+        return out
     same = docs["doc_id"].eqNullSafe(again["_id"])
-    single = docs.join(again, same, "left_anti")
-    multi = docs.join(again, same, "left_semi")
-    return single.unionByName(multi.dropDuplicates(["doc_id", "text"]))
+    once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, same, "left_anti").unionByName(once)

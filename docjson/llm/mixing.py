@@ -21,8 +21,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
     Sources in code-point order, null last, take the weights in turn. No target exceeds ``most`` times its source; the
     excess goes to the others by weight until none is above. That fixed point is a water level: every target is the
-    smaller of its cap and ``level * weight``, and the level follows from the sources in order of cap per weight. The
-    windows run over one row per source, not over documents.
+    smaller of its cap and ``level * weight``. With the sources in order of cap per weight, the level is what the sources
+    below leave over the weights from here on, at the first source whose own cap it does not exceed; from there on that
+    quotient only falls, so it is the largest such one. The windows run over one row per source, not over documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy(F.lit(1))
@@ -38,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
         .withColumn("_below", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_level", (F.col("_all") - F.col("_below")) / F.sum("_w").over(upward))
         .withColumn(
-            "_level", F.coalesce(F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything), F.lit(0.0))
+            "_level", F.coalesce(F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything), F.lit(0.0))
         )
         .select("source", "source_size", F.least("_cap", F.col("_level") * F.col("_w")).alias("target"))
     )
@@ -68,7 +69,7 @@ def _ranked(docs: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 17) -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies``: how often the mix takes each document whole.
+    """``doc_id, source, size, source_size, target, copies``: how often the mix takes each document whole.
 
     A source's target over its size is the number of copies each of its documents should have. The whole part is
     certain. What is left of the target is drawn once per document, with inclusion probability rising with the square
@@ -81,8 +82,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     aggregate per task.
 
     Args:
-        docs: needs ``doc_id, text, source``; all columns come back (own columns named ``size``, ``source_size``,
-            ``target`` or ``copies`` are replaced).
+        docs: needs ``doc_id, text, source``; other columns are ignored.
         weights: in turn, for the sources in code-point order, null last.
         most: no source, and no document, is taken more often than this.
         seed: another seed, another sample.
@@ -91,7 +91,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     an id share its random number. A table without words has targets and copies of 0. An empty table gives an empty
     result.
     """
-    plain = docs.drop("size", "source_size", "target", "copies").withColumn("size", n_words(F.col("text")))
+    return _planned(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), weights, most, seed)
+
+
+def _planned(plain: DataFrame, weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
     light = materialise(plain.select("doc_id", "source", "size"), "mix-sizes")
     root = F.floor(F.sqrt(F.col("size").cast("double")) * 1024).cast("decimal(18,0)")
     stats = light.groupBy("source").agg(
@@ -159,8 +162,12 @@ def _within(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(right, match).drop("_cs", *[f"_k{k}" for k in keys])
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed table itself: each document as many times as :func:`mix_plan` takes it, with the columns of ``docs``."""
-    planned = mix_plan(docs, **options).filter("copies > 0")
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 17) -> DataFrame:
+    """The mixed table itself: each document as many times as :func:`mix_plan` takes it, with the columns of ``docs``.
+
+    The draw is decided by bounds per source, so that no text is joined or shuffled.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    planned = _planned(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), whole), weights, most, seed)
     repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
-    return planned.select(*[F.col(c) for c in docs.columns], repeat).drop("_copy")
+    return planned.filter("copies > 0").select("_row", repeat).select("_row.*")

@@ -20,7 +20,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -65,7 +65,7 @@ l AS (SELECT *, cap / w AS ratio, CAST(sum(source_size) OVER () AS DOUBLE) AS ev
 m AS (SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM l),
 t AS (SELECT source, source_size, steep,
-    least(cap, coalesce((SELECT min(lv) FROM m WHERE lv <= ratio), 0) * w) AS target FROM m),
+    least(cap, coalesce((SELECT max(lv) FROM m WHERE lv <= ratio), 0) * w) AS target FROM m),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 q AS (SELECT *, greatest(0.0, target - whole * source_size) AS rest FROM p),
 e AS (SELECT d.doc_id, d.size, q.source, q.source_size, q.target, q.whole, q.rest, u / (1 - u) AS odds,
