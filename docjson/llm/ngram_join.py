@@ -9,9 +9,9 @@ exact and small at scale:
 * With tokens in order of frequency, rarest first, two sets that reach the threshold share a token among their first
   ``n - ceil(t * n) + 1``. Sets whose unshared tokens fill that prefix are done. Of the others, the shared prefix tokens are
   the rows of the matrix in which groups meet.
-* Groups are connected by construction (every member reaches the threshold with the group's head), so for components one
-  link between two groups is enough, and groups already in one component are not compared at all. A cluster of near
-  copies that holds a third of all rows is a chain of bounded groups, never one task and never all its pairs.
+* A pair of groups is one row, however many sets they hold: a bounded product of two packed matrices inside a task settles it,
+  and only a spanning forest of its links leaves. Groups that lie within one component already are not compared. A
+  cluster that holds a third of all rows is a row of bounded groups tied to one anchor, never one task.
 """
 
 from __future__ import annotations
@@ -31,15 +31,17 @@ from .text_hash import mix64, shingles, word_hashes
 #: Tokens that a task holds before it sends them off.
 HELD = 2_000_000
 #: Members and bytes of a group, and open heads that a set is compared with while groups are formed.
-GROUP, GROUP_BYTES, HEADS = 256, 4 << 20, 32
+GROUP, GROUP_BYTES, HEADS = 256, 2 << 20, 32
+#: Sets at least this similar to a group's head, as a fraction, go into the group.
+ALIKE = (1, 2)
 _LOW48 = np.uint64((1 << 48) - 1)
 
 _PACKED = "part int, kind int, ids binary, sizes binary, runs binary, tokens binary, extra binary"
 _PACKED_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in ("ids", "sizes", "runs", "tokens", "extra")]])
 _SETS = "doc_id long, n long, digest binary, shared binary, prefix array<long>"
 _SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-_GROUPS = "gid long, low int, high int, ids array<long>, sizes array<int>, sets array<binary>, joined binary, prefix array<long>, chained array<long>"
-_GROUPS_ARROW = pa.schema([("gid", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sets", pa.list_(pa.binary())), ("joined", pa.binary()), ("prefix", pa.list_(pa.int64())), ("chained", pa.list_(pa.int64()))])
+_GROUPS = "gid long, low int, high int, ids array<long>, sizes array<int>, sets array<binary>, joined binary, prefix array<long>, edges array<struct<a:long,b:long>>"
+_GROUPS_ARROW = pa.schema([("gid", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sets", pa.list_(pa.binary())), ("joined", pa.binary()), ("prefix", pa.list_(pa.int64())), ("edges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
 _SHARED, _META = 0, 1
 
 
@@ -215,50 +217,107 @@ def _linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, num: int, den: int
     return den * both >= num * (n_a + n_b - both)
 
 
+class _Forest:
+    """Disjoint sets over places 0..n-1; ``join`` says whether it joined two."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _matrix(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """Which of ``tokens`` (sorted) each set holds."""
+    out = np.zeros((len(sets), len(tokens)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(tokens, s)
+        at[at == len(tokens)] = 0
+        out[i, at[tokens[at] == s] if len(tokens) else []] = 1
+    return out
+
+
+def _reach(both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    both = np.rint(both).astype(np.int64)
+    return den * both >= num * (n_a[:, None] + n_b[None, :] - both)
+
+
 class _Group:
-    def __init__(self, doc_id: int, n: int, tokens: np.ndarray, prefix: list[int], chained: list[int]):
-        self.gid, self.head, self.n, self.chained = doc_id, tokens, n, chained
-        self.ids, self.sizes, self.sets, self.prefix, self.bytes = [doc_id], [n], [tokens], set(prefix), tokens.nbytes
+    """Similar sets under one min-hash, with the links among them that have been found."""
+
+    def __init__(self, doc_id: int, n: int, tokens: np.ndarray, prefix: list[int], anchor: tuple | None, num: int, den: int):
+        self.gid, self.head, self.n = doc_id, tokens, n
+        self.anchor = anchor or (doc_id, tokens, n)
+        self.ids, self.sizes, self.sets, self.prefix, self.bytes, self.edges = [], [], [], set(), 0, []
+        self.add(doc_id, n, tokens, prefix, num, den)
 
-    def add(self, doc_id: int, n: int, tokens: np.ndarray, prefix: list[int]) -> None:
+    def add(self, doc_id: int, n: int, tokens: np.ndarray, prefix: list[int], num: int, den: int) -> None:
         self.ids.append(doc_id), self.sizes.append(n), self.sets.append(tokens)
         self.prefix.update(prefix)
         self.bytes += tokens.nbytes
+        other, t, m = self.anchor
+        if other != doc_id and _linked(tokens, n, t, m, num, den):
+            self.edges.append((doc_id, other))
 
     def full(self) -> bool:
         return len(self.ids) >= GROUP or self.bytes >= GROUP_BYTES
 
-    def row(self) -> tuple:
+    def row(self, num: int, den: int) -> tuple:
         joined = np.unique(np.concatenate(self.sets))
-        return self.gid, min(self.sizes), max(self.sizes), self.ids, self.sizes, [s.tobytes() for s in self.sets], joined.tobytes(), list(self.prefix), self.chained
+        if len(self.ids) > 1:  # what the anchor did not settle
+            place = {i: k for k, i in enumerate(self.ids)}
+            forest, tied = _Forest(len(self.ids) + 1), len(self.ids)
+            for i, _ in self.edges:
+                forest.join(place[i], tied)
+            if self.anchor[0] in place:
+                forest.join(place[self.anchor[0]], tied)
+            rest = len({forest.root(k) for k in range(len(self.ids))})
+            if rest > 1:
+                m, n = _matrix(self.sets, joined), np.array(self.sizes)
+                for i, j in zip(*np.nonzero(np.triu(_reach(m @ m.T, n, n, num, den), 1)), strict=True):
+                    if forest.join(int(i), int(j)):
+                        self.edges.append((self.ids[i], self.ids[j]))
+        return self.gid, min(self.sizes), max(self.sizes), self.ids, self.sizes, [s.tobytes() for s in self.sets], joined.tobytes(), list(self.prefix), [{"a": x, "b": y} for x, y in self.edges]
 
 
 def _form_groups(num: int, den: int):
-    """Rows in order of a min-hash: each set joins the first open group whose head it is linked with, or heads a new one."""
+    """Rows in order of a min-hash: each set joins the first open group whose head is like it, or heads a new one.
+
+    The first head of a row of groups is their anchor. Every member is compared with it, which links the parts of a
+    cluster that fills more than one group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, heads, done, weight = None, [], [], 0
+        key, heads, done = None, [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["key"] != key:
                     done += heads
                     key, heads = row["key"], []
                 tokens = np.frombuffer(row["shared"], np.uint64)
-                near = next((g for g in heads if _linked(g.head, g.n, tokens, row["n"], num, den)), None)
+                near = next((g for g in heads if _linked(g.head, g.n, tokens, row["n"], *ALIKE)), None)
                 if near is not None and not near.full():
-                    near.add(row["doc_id"], row["n"], tokens, row["prefix"])
+                    near.add(row["doc_id"], row["n"], tokens, row["prefix"], num, den)
                 else:
-                    if near is not None:  # the full group is written; the new one remembers that it belongs with it
+                    if near is not None:
                         heads.remove(near)
                         done.append(near)
-                    heads.insert(0, _Group(row["doc_id"], row["n"], tokens, row["prefix"], [near.gid] if near is not None else []))
+                    heads.insert(0, _Group(row["doc_id"], row["n"], tokens, row["prefix"], near.anchor if near is not None else None, num, den))
                     if len(heads) > HEADS:
                         done.append(heads.pop())
                 if len(done) >= 500 or sum(g.bytes for g in done[-8:]) > GROUP_BYTES:
-                    yield _rows(_GROUPS_ARROW, [g.row() for g in done])
+                    yield _rows(_GROUPS_ARROW, [g.row(num, den) for g in done])
                     done = []
         if done or heads:
-            yield _rows(_GROUPS_ARROW, [g.row() for g in [*done, *heads]])
+            yield _rows(_GROUPS_ARROW, [g.row(num, den) for g in [*done, *heads]])
 
     return run
 
@@ -286,25 +345,33 @@ def _link_heads(num: int, den: int):
 
 
 def _open_groups(num: int, den: int):
-    """For pairs of groups: bound each set's overlap with the other group's union, open what qualifies, link on a hit."""
+    """For pairs of groups: bound each set's overlap with the other group's union, open what qualifies, link what reaches it.
+
+    Of the links between two groups, a spanning forest is kept.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def linked(row: dict) -> bool:
-        joined = np.frombuffer(row["b_joined"], np.uint64)
-        members = [(np.frombuffer(s, np.uint64), n) for s, n in zip(row["b_sets"], row["b_sizes"], strict=True)]
-        for s, n in zip(row["a_sets"], row["a_sizes"], strict=True):
-            if den * row["b_high"] < num * n or den * n < num * row["b_low"]:
-                continue
-            tokens = np.frombuffer(s, np.uint64)
-            if den * len(np.intersect1d(tokens, joined, assume_unique=True)) < num * n:
-                continue
-            if any(_linked(tokens, n, t, m, num, den) for t, m in members):
-                return True
-        return False
+    def links(row: dict) -> list[tuple[int, int]]:
+        joined = np.intersect1d(np.frombuffer(row["a_joined"], np.uint64), np.frombuffer(row["b_joined"], np.uint64), assume_unique=True)
+        n_a, n_b = np.array(row["a_sizes"], np.int64), np.array(row["b_sizes"], np.int64)
+        if den * len(joined) < num * n_a.min() or den * len(joined) < num * n_b.min():
+            return []
+        a = _matrix([np.frombuffer(x, np.uint64) for x in row["a_sets"]], joined)
+        mine = np.flatnonzero((den * a.sum(1) >= num * n_a) & (den * n_b.max() >= num * n_a) & (den * n_a >= num * n_b.min()))
+        if not len(mine):
+            return []
+        b = _matrix([np.frombuffer(x, np.uint64) for x in row["b_sets"]], joined)
+        theirs = np.flatnonzero(den * b.sum(1) >= num * n_b)
+        reach = _reach(a[mine] @ b[theirs].T, n_a[mine], n_b[theirs], num, den)
+        forest, out = _Forest(len(mine) + len(theirs)), []
+        for i, j in zip(*np.nonzero(reach), strict=True):
+            if forest.join(int(i), len(mine) + int(j)):
+                out.append((row["a_ids"][mine[i]], row["b_ids"][theirs[j]]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _rows(schema, [(row["a"], row["b"]) for row in batch.to_pylist() if linked(row)])
+            yield _rows(schema, [x for row in batch.to_pylist() for x in links(row)])
 
     return run
 
@@ -357,7 +424,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     )
     groups = materialise(ordered.mapInArrow(_form_groups(num, den), _GROUPS), "groups")
 
-    edges = groups.select(F.col("gid").alias("a"), F.explode("chained").alias("b"))
+    edges = groups.select(F.explode("edges").alias("e")).select("e.a", "e.b")
     heads = groups.select("gid", F.element_at("sets", 1).alias("head"), F.element_at("sizes", 1).alias("n"))
     for salt in (1, 2, 3):
         by = heads.withColumn("key", _min_hash("head", salt)).repartitionByRange(parts, "key", "n", "gid").sortWithinPartitions("key", "n", "gid")
@@ -365,8 +432,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     edges = materialise(edges, "links")
     known = components(edges)
 
-    # Rows of the matrix: prefix tokens by group. Only tokens in which two components meet say anything new.
-    named = groups.join(known, F.col("gid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "gid"))
+    # A group within one component goes by its name; any other by a name of its own.
+    members = groups.select("gid", F.explode("ids").alias("id")).join(known, F.col("id") == F.col("node"), "left")
+    spans = members.groupBy("gid").agg(F.min(F.coalesce("component", "id")).alias("x"), F.max(F.coalesce("component", "id")).alias("y"))
+    named = groups.join(spans, "gid").withColumn("comp", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(-F.col("gid") - 1))
+    # Rows of the matrix: prefix tokens by group. Only tokens in which two names meet say anything new.
     cells = materialise(named.select(F.explode("prefix").alias("token"), "gid", "comp", "low", "high"), "cells")
     meeting = cells.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     cells = cells.join(meeting, "token", "left_semi")
@@ -378,19 +448,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     right = cells.select("token", F.col("comp").alias("cb"), F.col("gid").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
     close = (F.col("a_high") * den >= F.col("b_low") * num) & (F.col("b_high") * den >= F.col("a_low") * num)
     candidates2 = pairs.join(left, ["token", "ca"]).join(right, ["token", "cb"]).filter(close).select("a", "b").distinct()
-    a_side = groups.select(F.col("gid").alias("a"), F.col("sizes").alias("a_sizes"), F.col("sets").alias("a_sets"))
-    b_side = groups.select(F.col("gid").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.col("sizes").alias("b_sizes"), F.col("sets").alias("b_sets"), F.col("joined").alias("b_joined"))
+    a_side, b_side = (groups.select(F.col("gid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("ids", "sizes", "sets", "joined")]) for x in "ab")
     opened = candidates2.join(a_side, "a").join(b_side, "b").mapInArrow(_open_groups(num, den), "a long, b long")
     final = components(edges.union(opened))
 
-    # From a group's component to its members, their copies and the smallest id of all.
-    members = groups.select("gid", F.explode("ids").alias("rep")).join(final, F.col("gid") == F.col("node"), "left")
-    members = members.select("rep", F.coalesce("component", "gid").alias("comp"))
-    lowest = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(members, "rep").join(lowest, "comp").select("digest", F.col("component_id").alias("_c"))
+    # From components to their members, the copies of these and the smallest id of all.
+    reps = classes.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("_c"))
     return (
         sets.select("doc_id", "n", "digest")
-        .join(classes.withColumn("_any", F.lit(True)), "digest", "left")
+        .join(reps, "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
