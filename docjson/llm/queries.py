@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, ngram_join, packing, toxicity
+from . import audio, exact_dedup, line_templates, lm_scoring, mixing, ngram_join, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,20 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.text_audio(_table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,13 +49,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
+    "op6_audio": op6_audio,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_line_templates": op10_line_templates,
 }
 
 _OP8_SQL = """
@@ -84,4 +101,23 @@ SELECT f.doc_id, f.size, f.source_size, f.target,
 FROM f LEFT JOIN g ON f.doc_id = g.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
+_OP10_SQL = r"""
+WITH e AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM e),
+m AS (SELECT doc_id, pos, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l),
+k AS (SELECT *, string_split(masked, ' ') AS t, len(string_split(masked, ' ')) AS n, string_split(masked, ' ')[1:3] AS lead FROM m),
+c AS (SELECT * FROM k WHERE n >= 4),
+f AS (SELECT n, lead, masked, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM c GROUP BY n, lead, masked),
+h AS (SELECT *, first_value(masked) OVER w AS head, first_value(t) OVER w AS ht
+  FROM f WINDOW w AS (PARTITION BY n, lead ORDER BY docs DESC, masked DESC)),
+v AS (SELECT n, lead, masked, CASE WHEN len(list_filter(list_zip(t, ht), lambda x: x[1] = x[2])) / n >= 0.6 THEN head ELSE masked END AS template FROM h),
+j AS (SELECT c.doc_id, c.pos, v.n, v.lead, v.template FROM c JOIN v ON c.n = v.n AND c.lead = v.lead AND c.masked = v.masked),
+o AS (SELECT n, lead, template FROM j GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 4),
+g AS (SELECT DISTINCT j.doc_id, j.pos FROM j JOIN o ON j.n = o.n AND j.lead = o.lead AND j.template = o.template),
+d AS (SELECT doc_id, count(*) AS n_dropped FROM g GROUP BY doc_id),
+r AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos WHERE g.pos IS NULL GROUP BY l.doc_id)
+SELECT e.doc_id, coalesce(r.text, '') AS text, CAST(len(e.parts) AS BIGINT) AS n_lines, CAST(coalesce(d.n_dropped, 0) AS BIGINT) AS n_dropped
+FROM e LEFT JOIN r ON e.doc_id = r.doc_id LEFT JOIN d ON e.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_mixing": _OP4_SQL, "op8_exact_dedup": _OP8_SQL, "op10_line_templates": _OP10_SQL}
