@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, exact_dedup, line_templates, lm_scoring, mixing, ngram_join, packing, secrets, toxicity
+from . import audio, exact_dedup, html_extract, line_templates, lm_scoring, mixing, ngram_join, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.text_audio(_table(spark, sf_dir, "documents")))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
+    "op5_html_extract": op5_html_extract,
     "op6_audio": op6_audio,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
