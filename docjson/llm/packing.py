@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,9 @@ from .text_hash import hash_spans, mix64, text_slices, word_bounds
 
 #: Dimensions and bits each of the curve; its leading bits name the cells that are dealt to partitions.
 DIMS, BITS, CELL_BITS = 3, 8, 12
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+_PRETOKEN = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Words whose split and lower case need no Unicode tables: printable ASCII and Latin letters up to U+017F.
-_PLAIN = regex.compile("[\\x21-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž]+")
+_PLAIN = regex.compile("[\\n\\x21-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž]+")
 #: Words that a worker remembers.
 _CACHE = 300_000
 
@@ -55,35 +56,56 @@ class WordEncoder:
         return cls._made[path]
 
     def _piece(self, p: str) -> bytes:
-        found = self.pieces.get(p)
-        if found is None:
-            spelt = p if p.isascii() else "".join(self.letters[b] for b in p.encode())
-            found = np.array([t.id for t in self.model.tokenize(spelt)], np.uint16).tobytes()
-            if len(self.pieces) >= _CACHE:
-                self.pieces.clear()
-            self.pieces[p] = found
+        spelt = p if p.isascii() else "".join(self.letters[b] for b in p.encode())
+        found = array("H", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if len(self.pieces) >= _CACHE:
+            self.pieces.clear()
+        self.pieces[p] = found
         return found
 
-    def word(self, raw: bytes) -> bytes:
-        w = raw.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(w) and "<|" not in w:
-            return b"".join(map(self._piece, _PRETOKEN.findall(w.lower())))
-        return np.array(self.whole.encode(w, add_special_tokens=False).ids, np.uint16).tobytes()
+    def _whole(self, word: str) -> bytes:
+        return array("H", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, text: str) -> list[bytes]:
+        """Ids of words in a text of one word a line: the split, the lower-casing and the look-ups are one pass."""
+        out, now, get, make = [], [], self.pieces.get, self._piece
+        for p in _PRETOKEN.findall(text.lower()):
+            if p == "\n":
+                out.append(b"".join(now))
+                now = []
+            else:
+                found = get(p)
+                now.append(make(p) if found is None else found)
+        out.append(b"".join(now))
+        return out
+
+    def new_words(self, raw: list[bytes]) -> list[bytes]:
+        if not raw:
+            return []
+        text = b"\n".join(raw).decode("utf-8", "replace")
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return self._plain(text)
+        words = text.split("\n")
+        odd = {i for i, w in enumerate(words) if "<|" in w or not _PLAIN.fullmatch(w)}
+        plain = [w for i, w in enumerate(words) if i not in odd]
+        done = iter(self._plain("\n".join(plain)) if plain else [])
+        return [self._whole(w) if i in odd else next(done) for i, w in enumerate(words)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and the bounds of each text's."""
         starts, ends, rows = word_bounds(data, offsets)
         hashes, first, which = np.unique(hash_spans(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        known, raw, ids = self.words, data.tobytes(), []
-        for h, i in zip(hashes.tolist(), first.tolist(), strict=True):
-            found = known.get(h)
-            if found is None:
-                found = self.word(raw[starts[i] : ends[i]])
-                if len(known) >= _CACHE:
-                    known.clear()
-                known[h] = found
-            ids.append(found)
-        size = np.fromiter((len(b) // 2 for b in ids), np.int64, len(ids))
+        keys, raw = hashes.tolist(), data.tobytes()
+        ids = list(map(self.words.get, keys))
+        missing = [k for k, b in enumerate(ids) if b is None]
+        at, to = starts[first].tolist(), ends[first].tolist()
+        made = self.new_words([raw[at[k] : to[k]] for k in missing])
+        if len(self.words) + len(made) > _CACHE:
+            self.words.clear()
+        for k, b in zip(missing, made, strict=True):
+            ids[k] = b
+            self.words[keys[k]] = b
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         flat = np.frombuffer(b"".join(ids), np.uint16)
         each = size[which]
         ends_at = np.cumsum(each)
@@ -181,7 +203,7 @@ def _tokenise(path: str, end_id: int, first: np.ndarray, ways: np.ndarray):
         for batch in batches:
             doc_ids = batch.column(0)
             numbers = np.asarray(doc_ids.fill_null(-1)).astype(np.int64)
-            for at, data, offsets in text_slices(batch.column(1)):
+            for at, data, offsets in text_slices(batch.column(1), 3 << 20):
                 keys = curve_keys(data, offsets)
                 cell = keys >> (DIMS * BITS - CELL_BITS)
                 n_rows = len(offsets) - 1
