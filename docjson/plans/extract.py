@@ -63,7 +63,10 @@ _CHUNK = re.compile(r'<TextChunk index="(\d+)" total="(\d+)">\n(.*)\n</TextChunk
 
 @dataclass
 class RulePlanner:
-    """Patterns instead of a model: every match becomes an item of the array of its name; the second answer ends the chunk."""
+    """Patterns instead of a model: every match becomes an item of the array of its name.
+
+    With a schema, arrays are not made on the way; told that one is missing, the planner makes it and tries once more.
+    """
 
     rules: dict[str, str] = field(default_factory=lambda: {"emails": r"[A-Za-z0-9._]+@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+", "addresses": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"})
 
@@ -71,8 +74,14 @@ class RulePlanner:
         usage = {"input_tokens": sum(len(m.content) for m in messages), "output_tokens": 1, "total_tokens": sum(len(m.content) for m in messages) + 1}
         found = next(m for m in (_CHUNK.search(x.content) for x in messages if x.role == "human") if m)
         ops = [{"op": "add", "path": f"/{name}/-", "value": v} for name, pattern in self.rules.items() for v in re.findall(pattern, found[3])]
-        if any(m.role == "ai" for m in messages) or not ops:
-            args = {"items_added": str(len(ops)), "text_excerpt": found[3][-150:], "extracted_entities_count": len(ops)}
+        n, rounds = len(ops), sum(m.role == "ai" for m in messages)
+        if rounds == 1 and messages[-1].role == "tool" and "parent path does not exist" in messages[-1].content:
+            lost = [name for name in self.rules if f'"pointer": "/{name}/-"' in messages[-1].content]
+            ops = [{"op": "add", "path": f"/{name}", "value": []} for name in lost] + ops
+        elif rounds:
+            ops = []
+        if not ops:
+            args = {"items_added": str(n), "text_excerpt": found[3][-150:], "extracted_entities_count": n}
             return Message("ai", tool_calls=[{"id": f"g{found[1]}", "name": "update_guidance", "args": args}], usage=usage)
         return Message("ai", tool_calls=[{"id": f"p{found[1]}", "name": "apply_patches", "args": {"patches": ops}}], usage=usage)
 
