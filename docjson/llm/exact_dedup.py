@@ -53,6 +53,8 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
         )
         .drop("_variants")
     )
+    # As a table of its own it is dealt anew for the join, which lets Spark split a large group's partition.
+    groups = materialise(groups, "copies")
     # Repeated (id, text) rows are counted, so that exactly one of them can be the one that stays.
     # They are dealt by id: dealt by hash, a large group would be one task's, with a count above that forbids splitting it.
     light = rows.select("doc_id", "_h", "text_sha256").repartition("doc_id")
@@ -79,17 +81,21 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 def drop_exact_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """``docs`` with one row left of each group of byte-equal texts; all columns stay.
 
-    The row that stays is the one of the smallest (or largest) ``doc_id``. Only the ids and hashes of the rows that go are
-    joined against the table. Rows repeated with the same id and text collapse to one.
+    The row that stays is the one of the smallest (or largest) ``doc_id``; of rows that repeat an id and text, one. Rows are
+    grouped by hash and bytes as in :func:`exact_groups`, and the row that stays is carried along, so that texts move once
+    and copies are reduced before they move.
     """
-    lost = materialise(exact_groups(docs, keep).filter(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"), "copies")
-    itself = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = lost.filter(~itself).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (sha == gone["_sha"]), "left_anti")
-    again = lost.filter(itself).select(F.col("doc_id").alias("_id")).distinct()
-    if again.isEmpty():
-        return out
-    same = docs["doc_id"].eqNullSafe(again["_id"])
-    once = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(again, same, "left_anti").unionByName(once)
+    if keep not in ("smallest", "largest"):
+        raise ValueError(f"keep must be smallest or largest, not {keep!r}")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest], F.col("text").isNull().alias("_no_text"))
+    # Rows without an id stay only where no row has one; other columns break ties between repeated ids.
+    known = F.col("doc_id").isNull() if keep == "smallest" else F.col("doc_id").isNotNull()
+    order = F.struct(known, F.col("doc_id"), F.xxhash64(F.to_json(row)))
+    pick = F.min_by if keep == "smallest" else F.max_by
+    rows = docs.select(F.unhex(F.md5(text)).alias("_h"), text.alias("_text"), row.alias("_row"), order.alias("_order"))
+    kept = rows.groupBy("_h", "_text").agg(pick("_row", "_order").alias("_row"))
+    back = {c: F.col("_row").getField(c).alias(c) for c in rest}
+    back["text"] = F.when(~F.col("_row._no_text"), F.col("_text")).alias("text")
+    return kept.select(*[back[c] for c in docs.columns])
