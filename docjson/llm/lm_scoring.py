@@ -130,7 +130,7 @@ class _Chunk:
 
     def owners(self, level: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """The owner of each n-gram of a level, and the order in which owners are asked."""
-        owner = ((self.keys[level] >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16)
+        owner = ((self.keys[level] >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16 if parts <= 65_536 else np.uint32)
         return owner, np.argsort(owner, kind="stable")
 
 
@@ -245,13 +245,13 @@ def score_texts(docs: DataFrame, order: int = 2, of: int = 7, held_out: int = 2,
     uniform. An empty table gives an empty result. Words the training rows lack share the uniform part.
     """
     spark = docs.sparkSession
-    parts = min(65_535, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(1 << 20, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     left = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
     fold = F.when(left == held_out, HELD_OUT).when(left == deleted, DELETED).otherwise(MAIN)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold"))
     chunks = materialise(rows.mapInArrow(_encode, _CHUNKS), "lm-chunks")
     asked = chunks.mapInArrow(_ask(order, parts), _ASKED)
-    told = materialise(asked.repartition(parts, "part").mapInArrow(_tell, _TOLD), "lm-counts")
+    told = materialise(asked.repartitionById(parts, "part").mapInArrow(_tell, _TOLD), "lm-counts")
     n_main, n_all, types = (int(x or 0) for x in told.agg(F.sum("tokens_main"), F.sum("tokens"), F.sum("types")).first())
     answers = told.filter("chunk >= 0").drop("tokens_main", "tokens", "types")
     n_docs = rows.groupBy("fold").count().collect()  # three rows at most
