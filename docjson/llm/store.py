@@ -12,10 +12,12 @@ _DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is made only where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. A local one is made only where it is unset and all tasks run in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _DIRS:
         _DIRS[app] = "file://" + tempfile.mkdtemp(prefix="docjson-")

@@ -113,6 +113,7 @@ def text(source, other=None):
         ("plain text", "plain text"),
         ("<p>a&nbsp; \n b</p>", "a b"),
         ("<div class=sidebar><div>x</div></div><p>y</p>", "y"),
+        ("<div class='page has-sidebar'><article><p>x</p></article><div class='main sidebar'>z</div></div>", "x"),
     ],
 )
 def test_structure(source, want):
