@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -327,7 +328,7 @@ def _form_groups(num: int, den: int):
 
 
 def _link_heads(num: int, den: int):
-    """Heads in order of another min-hash: links to the heads seen last under the same key."""
+    """Heads in order of other min-hashes: links to the heads seen last under the same key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +336,8 @@ def _link_heads(num: int, den: int):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if row["key"] != key:
-                    key, heads = row["key"], []
+                if (row["salt"], row["key"]) != key:
+                    key, heads = (row["salt"], row["key"]), []
                 tokens = np.frombuffer(row["head"], np.uint64)
                 near = next((h for h in heads if _linked(h[1], h[2], tokens, row["n"], num, den)), None)
                 if near:
@@ -389,16 +390,14 @@ def _open_groups(num: int, den: int):
     return run
 
 
-def _min_hash(column: str, salt: int):
-    """The smallest token of a set under one of several orders; as native as the packed bytes allow: a scalar Arrow UDF."""
-    multiplier = np.uint64(int(mix64(np.array([salt + 1], np.uint64))[0]) | 1)
-
-    def least(values):
-        import pandas as pd
+def _min_hashes(column: str, *salts: int):
+    """The smallest token of a set under one order per salt."""
+    multipliers = [np.uint64(int(mix64(np.array([s + 1], np.uint64))[0]) | 1) for s in salts]
 
-        return pd.Series([int((mix64(np.frombuffer(v, np.uint64) * multiplier)).min().view(np.int64)) for v in values], dtype="int64")
+    def least(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [int(mix64(np.frombuffer(v, np.uint64) * m).min().view(np.int64)) for m in multipliers])
 
-    return F.pandas_udf(least, "long")(F.col(column))
+    return F.pandas_udf(least, "array<long>")(F.col(column))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -431,7 +430,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = candidates.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     unique = candidates.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     ordered = (
-        unique.select("doc_id", "n", "shared", "prefix", _min_hash("shared", 0).alias("key"))
+        unique.select("doc_id", "n", "shared", "prefix", _min_hashes("shared", 0)[0].alias("key"))
         .repartitionByRange(parts, "key", "n", "doc_id")
         .sortWithinPartitions("key", "n", "doc_id")
     )
@@ -439,9 +438,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     edges = groups.select(F.explode("edges").alias("e")).select("e.a", "e.b")
     heads = groups.select("gid", F.element_at("sets", 1).alias("head"), F.element_at("sizes", 1).alias("n"))
-    for salt in (1, 2, 3):
-        by = heads.withColumn("key", _min_hash("head", salt)).repartitionByRange(parts, "key", "n", "gid").sortWithinPartitions("key", "n", "gid")
-        edges = edges.union(by.mapInArrow(_link_heads(num, den), "a long, b long"))
+    by = heads.select("gid", "head", "n", F.posexplode(_min_hashes("head", 1, 2, 3)).alias("salt", "key"))
+    by = by.repartitionByRange(parts, "salt", "key", "n", "gid").sortWithinPartitions("salt", "key", "n", "gid")
+    edges = edges.union(by.mapInArrow(_link_heads(num, den), "a long, b long"))
     edges = materialise(edges, "links")
     known = components(edges)
 
@@ -463,7 +462,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     candidates2 = pairs.join(left, ["token", "ca"]).join(right, ["token", "cb"]).filter(close).select("a", "b").distinct()
     a_side, b_side = (groups.select(F.col("gid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("ids", "sizes", "sets", "joined", "edges")]) for x in "ab")
     opened = candidates2.join(a_side, "a").join(b_side, "b").mapInArrow(_open_groups(num, den), "a long, b long")
-    final = components(edges.union(opened))
+    final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(opened))
 
     # From components to their members, the copies of these and the smallest id of all.
     reps = classes.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("_c"))
