@@ -22,7 +22,7 @@ from .store import materialise
 from .text_hash import mix64, word_hashes
 
 #: Words in a chunk; a longer text is a chunk of its own.
-CHUNK = 2_000_000
+CHUNK = 1_200_000
 #: Context-frequency buckets: powers of two.
 BUCKETS = 32
 #: Steps per factor of two in which probabilities are tabulated for the estimation of weights.
