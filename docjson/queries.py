@@ -175,13 +175,22 @@ def search_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").filter(read.col_alike(F.col("p_name"), F.lit("Red wigdet"))).select("p_partkey", "p_name")
 
 
-@query("""SELECT doc_id, contains(lower(strip_accents(trim(left(text, 200)))), 'cion') AS hit FROM documents WHERE text IS NOT NULL""")
-def search_fuzzy_accents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "documents").filter("text is not null").select("doc_id", F.to_json(F.struct(F.expr("left(text, 200)").alias("t"))).alias("json"))
+def _accents(docs: DataFrame, text: Column) -> DataFrame:
+    docs = docs.filter("text is not null").select("doc_id", F.to_json(F.struct(text.alias("t"))).alias("json"))
     got = docs.select("doc_id", F.from_json(read.json_search(F.col("json"), "CIÓN", fuzzy_match=True), "count int").alias("r"))
     return got.select("doc_id", (F.col("r.count") > 0).alias("hit"))
 
 
+@query("""SELECT doc_id, contains(lower(strip_accents(trim(left(text, 200)))), 'cion') AS hit FROM documents WHERE text IS NOT NULL""")
+def search_fuzzy_accents(spark: SparkSession, sf: str) -> DataFrame:
+    return _accents(_t(spark, sf, "documents"), F.expr("left(text, 200)"))
+
+
+@query()
+def search_fuzzy_accents_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _accents(_t(spark, sf, "documents"), F.col("text"))
+
+
 # Write operators.
 
 
@@ -332,16 +341,18 @@ _FORMATS = {
 }
 
 
-def _format_query(name: str) -> Query:
+def _format_query(name: str, text: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        words = _t(spark, sf, "documents").select("doc_id", F.explode(F.split(F.expr("left(text, 2000)"), " ")).alias("w"))
+        words = _t(spark, sf, "documents").select("doc_id", F.explode(F.split(F.expr(text), " ")).alias("w"))
         return words.groupBy("doc_id").agg(F.count_if(formats.col_matches(name, F.col("w"))).alias("n"))
 
     return run
 
 
 for _name, _pattern in _FORMATS.items():
-    query(f"SELECT doc_id, count(*) FILTER (regexp_full_match(w, '{_pattern}')) AS n FROM ({_WORDS}) GROUP BY doc_id", f"format_{_name.replace('-', '_')}")(_format_query(_name))
+    _key = f"format_{_name.replace('-', '_')}"
+    query(f"SELECT doc_id, count(*) FILTER (regexp_full_match(w, '{_pattern}')) AS n FROM ({_WORDS}) GROUP BY doc_id", _key)(_format_query(_name, "left(text, 2000)"))
+    query(None, f"{_key}_whole")(_format_query(_name, "text"))
 
 
 @query("""SELECT o_orderkey, try_cast(d AS DATE) IS NOT NULL AND regexp_full_match(d, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS good FROM
