@@ -378,6 +378,12 @@ def truncate_flat_string(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", json_truncate(quoted, 102).alias("shown"))
 
 
+@query()
+def truncate_flat_string_whole(spark: SparkSession, sf: str) -> DataFrame:
+    quoted = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+    return _t(spark, sf, "documents").select("doc_id", json_truncate(quoted, 102).alias("shown"))
+
+
 @query()
 def truncate_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _customers(spark, sf).select("doc_id", json_truncate(F.col("json"), 300).alias("shown"))
@@ -426,6 +432,12 @@ def user_message(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("doc_id", chunking.user_message(F.col("chunk"), F.col("chunk_idx"), F.col("total")).alias("message"))
 
 
+@query()
+def user_message_whole(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = chunking.explode_chunks(chunking.chunk_documents(_t(spark, sf, "documents")))
+    return chunks.select("doc_id", "chunk_idx", chunking.user_message(F.col("chunk"), F.col("chunk_idx"), F.col("total")).alias("message"))
+
+
 # Message logs.
 
 
@@ -476,12 +488,20 @@ _MAIL, _ADDRESS = r"[A-Za-z0-9._]+@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+", r"\b(?:[0-9
 @query(rf"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '{_MAIL}')) AS m, list_distinct(regexp_extract_all(text, '{_ADDRESS}')) AS a FROM documents WHERE length(text) <= 8000)
 SELECT doc_id, CAST(len(m) AS INTEGER) AS emails, CAST(len(a) AS INTEGER) AS addresses, 1 AS total_chunks, true AS fine FROM d""")
 def extract_short_documents(spark: SparkSession, sf: str) -> DataFrame:
-    got = extract_documents(_t(spark, sf, "documents").filter(F.length("text") <= 8000))
+    return _extracted_counts(extract_documents(_t(spark, sf, "documents").filter(F.length("text") <= 8000)))
+
+
+def _extracted_counts(got: DataFrame) -> DataFrame:
     j = F.from_json("json", "emails array<string>, addresses array<string>")
     count = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c))
     return got.select("doc_id", count(j["emails"]).alias("emails"), count(j["addresses"]).alias("addresses"), "total_chunks", F.col("error").isNull().alias("fine"))
 
 
+@query()
+def extract_documents_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _extracted_counts(extract_documents(_t(spark, sf, "documents")))
+
+
 @query()
 def extract_flagship(spark: SparkSession, sf: str) -> DataFrame:
     return extract_documents(_t(spark, sf, "documents")).select("doc_id", "json", "total_chunks", "guidance", "error")
@@ -493,6 +513,11 @@ def extracted_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.leaf_counts(nodes.ordered_nodes(got))
 
 
+@query()
+def extracted_leaves_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes.leaf_counts(nodes.ordered_nodes(extract_documents(_t(spark, sf, "documents"))))
+
+
 @query("""SELECT doc_id, arg_max(text, turn) AS guidance FROM (SELECT conv_id AS doc_id, turn, text FROM conversations) GROUP BY doc_id""")
 def guidance_latest(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max_by("text", "turn").alias("guidance"))

@@ -1,11 +1,13 @@
 """Queries over whole texts, held against brute force on a small fixture."""
 
+import json
 import re
 import unicodedata
 
 import pytest
 
 from docjson import queries as own
+from docjson.operators.chunking import recursive_split
 
 GOOD = ["a@b.org", "10.0.0.255", "123e4567-e89b-12d3-a456-426614174000", "23:59:60Z", "urn:x", "/a~1b/~0", "0/a", "12#", "7"]
 BAD = ["a@b", "10.0.0.256", "/a~2", "01/a", "0#a", "25:00:00", ":x", "/a~"]
@@ -37,3 +39,38 @@ def test_search_reads_whole_texts(spark, texts):
     want = {i: "cion" in plain(t) for i, t in enumerate(rows) if t}
     got = {r["doc_id"]: r["hit"] for r in own.QUERIES["search_fuzzy_accents_whole"](spark, at).collect()}
     assert {i: v for i, v in got.items() if rows[i]} == want and got[8] and got[9] and not got[10]
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    mail = lambda a, b: " ".join(f"mail m{i}@x.org from 10.0.0.{i % 200}." for i in range(a, b))
+    rows = [mail(0, 900), mail(0, 3), 'a "quoted"\t\\ line\n' * 30, "short", "", None, "  ", "plain words " * 5000 + "\n\n" + mail(0, 2)]
+    at = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return at, rows
+
+
+def test_flat_strings_of_any_kind(spark, long_texts):
+    at, rows = long_texts
+
+    def cut(t):
+        best = [json.dumps(t[:k] + "...", ensure_ascii=False) for k in range(min(len(t), 120))]
+        whole = json.dumps(t, ensure_ascii=False)
+        return whole if len(whole) <= 102 else max((x for x in best if len(x) <= 102), key=len)
+
+    got = {r["doc_id"]: r["shown"] for r in own.QUERIES["truncate_flat_string_whole"](spark, at).collect()}
+    assert got == {i: None if t is None else cut(t) for i, t in enumerate(rows)}
+
+
+def test_messages_and_extraction_of_all_documents(spark, long_texts):
+    at, rows = long_texts
+    chunks = {i: recursive_split(t or "") for i, t in enumerate(rows)}
+    assert len(chunks[0]) > 1 and all(len(c) <= 8000 for cs in chunks.values() for c in cs)
+    got = {(r["doc_id"], r["chunk_idx"]): r["message"] for r in own.QUERIES["user_message_whole"](spark, at).collect()}
+    assert got == {(i, k): f'<TextChunk index="{k + 1}" total="{len(cs)}">\n{c}\n</TextChunk>' for i, cs in chunks.items() for k, c in enumerate(cs)}
+    found = {i: [len({x for c in cs for x in re.findall(p, c)}) for p in (own._MAIL, own._ADDRESS)] for i, cs in chunks.items()}
+    got = {r["doc_id"]: r for r in own.QUERIES["extract_documents_whole"](spark, at).collect()}
+    assert {i: [r["emails"], r["addresses"]] for i, r in got.items()} == found and found[0][0] >= 900 and found[7] == [2, 2]
+    assert {i: (r["total_chunks"], r["fine"]) for i, r in got.items()} == {i: (len(cs) if rows[i] and rows[i].strip() else 0, bool(rows[i])) for i, cs in chunks.items()}
+    leaves = {r["doc_id"]: r["leaves"] for r in own.QUERIES["extracted_leaves_whole"](spark, at).collect()}
+    assert leaves == {i: sum(n) for i, n in found.items()}
