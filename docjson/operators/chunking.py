@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP, LEAST, PERCENTILE = 8000, 400, 500, 95.0
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 GLUE = "\n\n"
+Embedding = Callable[[pd.Series], pd.Series]
 
 
 def recursive_split(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -91,7 +95,7 @@ def hashed_embedding(values: pd.Series, dims: int = 64) -> pd.Series:
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
     norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(norm > 0, 1 - dot(a, b) / norm).otherwise(F.lit(1.0))
+    return F.when(norm > 0, 1 - dot(a, b) / norm).when(norm.isNotNull(), F.lit(1.0))
 
 
 def breakpoints(points: DataFrame, key: str, order: str, vector: str, percentile: float = PERCENTILE) -> DataFrame:
@@ -120,6 +124,50 @@ def semantic_chunks(docs: DataFrame, embed=hashed_embedding, percentile: float =
     return whole.select("doc_id", merge_small(F.col("chunks"), least).alias("chunks")).unionByName(none)
 
 
+def semantic_split(text: str, embed: Embedding = hashed_embedding, percentile: float = PERCENTILE, least: int = LEAST) -> list[str]:
+    """What :func:`semantic_chunks` makes of one text, on the spot."""
+    if not text.strip(" \t\n\r\f\v"):
+        return []
+    said = re.split(r"(?<=[.?!])\s+", text, flags=re.ASCII)
+    points = np.array([np.asarray(v, np.float32) for v in embed(pd.Series(said))], np.float64)
+    dot = lambda a, b: np.cumsum(a * b, axis=1)[:, -1]  # noqa: E731 (in order, as the columns add up)
+    norm = np.sqrt(dot(points[1:], points[1:]) * dot(points[:-1], points[:-1]))
+    far = np.where(norm > 0, 1 - dot(points[:-1], points[1:]) / np.where(norm > 0, norm, 1), 1.0)
+    parts = [[said[0]]]
+    if len(far):
+        ranked, at = np.sort(far), (len(far) - 1) * (percentile / 100)
+        low, high = int(np.floor(at)), int(np.ceil(at))
+        limit = ranked[low] if ranked[low] == ranked[high] else (high - at) * ranked[low] + (at - low) * ranked[high]
+        for sentence, breaks in zip(said[1:], far > limit, strict=True):
+            if breaks:
+                parts.append([])
+            parts[-1].append(sentence)
+    out, held = [], ""
+    for chunk in (" ".join(p) for p in parts):
+        if not held:
+            held = chunk
+        elif len(held) < least:
+            held += GLUE + chunk
+        else:
+            out.append(held)
+            held = chunk
+    if held and out and len(held) < least:
+        out[-1] += GLUE + held
+    elif held:
+        out.append(held)
+    return out
+
+
+def split_with_fallback(text: str, embed: Embedding | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """Semantic chunks; if they fail for whatever reason, or without an embedding, those of :func:`recursive_split`."""
+    if embed is not None:
+        try:
+            return semantic_split(text, embed)
+        except Exception:  # the embedding is the caller's and can fail in any way
+            pass
+    return recursive_split(text, size, overlap)
+
+
 def fallback_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Pieces of :func:`recursive_split`; only texts over ``size`` cross to Python."""
 
@@ -130,10 +178,18 @@ def fallback_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) ->
     return F.when(text.isNull(), F.array().cast("array<string>")).when(F.length(text) > size, F.pandas_udf(split, "array<string>")(long)).when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array(text))
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, chunks, error``: fallback chunks of every document; a null or empty text is an error."""
+def chunk_documents(docs: DataFrame, embed: Embedding | None = None) -> DataFrame:
+    """``doc_id, chunks, error``: chunks of every document; a null or empty text is an error.
+
+    With an embedding, semantic chunks, and :func:`fallback_chunks` for a text on which it fails; without one, the latter.
+    """
+
+    def split(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: split_with_fallback(t, embed) if t else [])
+
     nothing = F.coalesce(F.length("text"), F.lit(0)) == 0
-    return docs.select("doc_id", fallback_chunks(F.col("text")).alias("chunks"), F.when(nothing, F.lit("No text provided for processing.")).alias("error"))
+    chunks = fallback_chunks(F.col("text")) if embed is None else F.pandas_udf(split, "array<string>")(F.col("text"))
+    return docs.select("doc_id", chunks.alias("chunks"), F.when(nothing, F.lit("No text provided for processing.")).alias("error"))
 
 
 def explode_chunks(chunked: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docjson.functions.schema import Schema
 from docjson.functions.truncate import truncate
-from docjson.operators.chunking import recursive_split
+from docjson.operators.chunking import Embedding, split_with_fallback
 from docjson.operators.messages import SUMMARY, USAGE
 from docjson.operators.patch import write
 from docjson.operators.read import inspect_keys, read_value, search_pointer
@@ -231,20 +231,20 @@ class Run:
         return {"json_document": self.document, "metadata": {"total_chunks": total, "final_guidance": self.guidance, "token_usage": self.usage}, "error": self.error}
 
 
-def extract(text: str, planner: Planner, schema: dict | None = None, settings: Settings | None = None) -> dict[str, Any]:
-    """Extraction of one text on the spot."""
+def extract(text: str, planner: Planner, schema: dict | None = None, settings: Settings | None = None, embed: Embedding | None = None) -> dict[str, Any]:
+    """Extraction of one text on the spot; with an embedding, from semantic chunks, if they can be made."""
     s = settings or Settings()
     run = Run(planner, schema, s)
     if not text:
         run.error = "No text provided for processing."
         return run.result(0)
-    return run.all(recursive_split(text, s.chunk_size, s.chunk_overlap) if text.strip() else [])
+    return run.all(split_with_fallback(text, embed, s.chunk_size, s.chunk_overlap) if text.strip() else [])
 
 
 RESULT = "doc_id long, json string, total_chunks int, guidance string, token_usage map<string,long>, error string"
 
 
-def extract_documents(docs: DataFrame, planner: Callable[[int], Planner] | None = None, schema: dict | None = None, settings: Settings | None = None) -> DataFrame:
+def extract_documents(docs: DataFrame, planner: Callable[[int], Planner] | None = None, schema: dict | None = None, settings: Settings | None = None, embed: Embedding | None = None) -> DataFrame:
     """``doc_id, json, total_chunks, guidance, token_usage, error`` for every row of ``docs(doc_id, text)``.
 
     ``planner`` makes a planner for a document's id. A document whose planner fails is a row with an error, never a failed
@@ -256,7 +256,7 @@ def extract_documents(docs: DataFrame, planner: Callable[[int], Planner] | None
 
     def one(doc_id: int, text: str | None) -> tuple:
         try:
-            r = extract(text or "", make(doc_id), schema, s)
+            r = extract(text or "", make(doc_id), schema, s, embed)
         except Exception as e:
             r = {"json_document": {}, "metadata": {"total_chunks": 0, "final_guidance": {}, "token_usage": {}}, "error": f"{type(e).__name__}: {e}"}
         m = r["metadata"]

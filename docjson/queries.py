@@ -504,7 +504,12 @@ def extract_documents_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def extract_flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_documents(_t(spark, sf, "documents")).select("doc_id", "json", "total_chunks", "guidance", "error")
+    return extract_documents(_t(spark, sf, "documents"), embed=chunking.hashed_embedding).select("doc_id", "json", "total_chunks", "guidance", "error")
+
+
+@query()
+def chunk_semantic_first(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.explode_chunks(chunking.chunk_documents(_t(spark, sf, "documents"), chunking.hashed_embedding)).select("doc_id", "chunk_idx", "total", F.length("chunk").alias("n_chars"))
 
 
 @query("SELECT doc_id, CAST(len(m) + len(a) AS BIGINT) AS leaves FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '" + _MAIL + "')) AS m, list_distinct(regexp_extract_all(text, '" + _ADDRESS + "')) AS a FROM documents WHERE length(text) <= 8000)")

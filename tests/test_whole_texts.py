@@ -7,7 +7,9 @@ import unicodedata
 import pytest
 
 from docjson import queries as own
+from docjson.operators import chunking
 from docjson.operators.chunking import recursive_split
+from docjson.plans.extract import RulePlanner, extract
 
 GOOD = ["a@b.org", "10.0.0.255", "123e4567-e89b-12d3-a456-426614174000", "23:59:60Z", "urn:x", "/a~1b/~0", "0/a", "12#", "7"]
 BAD = ["a@b", "10.0.0.256", "/a~2", "01/a", "0#a", "25:00:00", ":x", "/a~"]
@@ -74,3 +76,25 @@ def test_messages_and_extraction_of_all_documents(spark, long_texts):
     assert {i: (r["total_chunks"], r["fine"]) for i, r in got.items()} == {i: (len(cs) if rows[i] and rows[i].strip() else 0, bool(rows[i])) for i, cs in chunks.items()}
     leaves = {r["doc_id"]: r["leaves"] for r in own.QUERIES["extracted_leaves_whole"](spark, at).collect()}
     assert leaves == {i: sum(n) for i, n in found.items()}
+
+
+def test_extraction_takes_semantic_chunks_first(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r["doc_id"]: r["chunks"] for r in chunking.semantic_chunks(docs).collect()}
+    got = {r["doc_id"]: r["chunks"] for r in chunking.chunk_documents(docs, chunking.hashed_embedding).collect()}
+    assert got == want and sum(len(c) > 1 for c in want.values()) > 20
+    runs = {r["doc_id"]: r["total_chunks"] for r in own.QUERIES["extract_flagship"](spark, sf).collect()}
+    assert runs == {i: len(c) for i, c in want.items()}
+    total = {(r["doc_id"], r["total"]) for r in own.QUERIES["chunk_semantic_first"](spark, sf).collect()}
+    assert total == {(i, len(c)) for i, c in want.items() if c}
+
+
+def test_recursive_chunks_where_the_embedding_fails(spark):
+    def down(values):
+        raise OSError("down")
+
+    text = "One sentence. " * 2000
+    assert extract(text, RulePlanner(), embed=down)["metadata"]["total_chunks"] == len(recursive_split(text)) > 1
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chunking.chunk_documents(docs, down).collect()}
+    assert got[1]["chunks"] == recursive_split(text) and got[2]["chunks"] == got[3]["chunks"] == [] and got[3]["error"]
