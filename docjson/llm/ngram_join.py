@@ -5,13 +5,15 @@ members of a group only if its overlap with that union could still reach the thr
 exact and small at scale:
 
 * A token that one set alone holds cannot be in any overlap. One pass sends every set's hashed tokens, as packed arrays,
-  to the partition that owns them, which counts in how many sets each occurs and sends back the shared ones only.
+  to the partition that owns them, which counts in how many sets each occurs and sends back the shared ones only. A
+  token that a great many sets hold has no owner: a sample shows them, and each set is told its figure at once.
 * With tokens in order of frequency, rarest first, two sets that reach the threshold share a token among their first
   ``n - ceil(t * n) + 1``. Sets whose unshared tokens fill that prefix are done. Of the others, the shared prefix tokens are
   the rows of the matrix in which groups meet.
-* A pair of groups is one row, however many sets they hold: a bounded product of two packed matrices inside a task settles it,
-  and only a spanning forest of its links leaves. Groups that lie within one component already are not compared. A
-  cluster that holds a third of all rows is a row of bounded groups tied to one anchor, never one task.
+* Groups that meet others are packed into blocks of neighbours, and a pair of blocks is one row, however many sets they
+  hold: bounded products of packed matrices inside a task settle it, and only a spanning forest of its links leaves.
+  Groups that lie within one component already are not compared. A cluster that holds a third of all rows is a row of
+  bounded groups tied to one anchor, never one task.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ from .text_hash import mix64, shingles, word_hashes
 HELD = 2_000_000
 #: Members and bytes of a group, and open heads that a set is compared with while groups are formed.
 GROUP, GROUP_BYTES, HEADS = 256, 2 << 20, 32
+#: Groups and bytes of a block.
+BLOCK, BLOCK_BYTES = 64, 4 << 20
+#: Sets that are looked at for tokens that very many hold, and the sets among them that make a token one of these.
+SAMPLE, OFTEN = 50_000, 50
 #: Sets at least this similar to a group's head, as a fraction, go into the group.
 ALIKE = (1, 2)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -43,7 +49,13 @@ _SETS = "doc_id long, n long, digest binary, shared binary, prefix array<long>"
 _SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 _GROUPS = "gid long, low int, high int, ids array<long>, sizes array<int>, sets array<binary>, joined binary, prefix array<long>, edges array<struct<a:long,b:long>>"
 _GROUPS_ARROW = pa.schema([("gid", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sets", pa.list_(pa.binary())), ("joined", pa.binary()), ("prefix", pa.list_(pa.int64())), ("edges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
-_SHARED, _META = 0, 1
+_GROUP_FIELDS = "gid:long,comp:string,low:int,high:int,ids:array<long>,sizes:array<int>,sets:array<binary>,joined:binary,edges:array<struct<a:long,b:long>>,meets:array<long>"
+_BLOCKS = f"bid long, low int, high int, cells array<struct<token:long,x:string,y:string>>, held array<struct<{_GROUP_FIELDS}>>"
+_EDGES_TYPE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_GROUP_TYPE = [pa.field("gid", pa.int64()), pa.field("comp", pa.string()), pa.field("low", pa.int32()), pa.field("high", pa.int32()), pa.field("ids", pa.list_(pa.int64())), pa.field("sizes", pa.list_(pa.int32())), pa.field("sets", pa.list_(pa.binary())), pa.field("joined", pa.binary()), pa.field("edges", _EDGES_TYPE), pa.field("meets", pa.list_(pa.int64()))]
+_CELLS_TYPE = pa.list_(pa.struct([("token", pa.int64()), ("x", pa.string()), ("y", pa.string())]))
+_BLOCKS_ARROW = pa.schema([("bid", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("cells", _CELLS_TYPE), ("held", pa.list_(pa.struct(_GROUP_TYPE)))])
+_SHARED, _META, _OFTEN = 0, 1, 2
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -78,8 +90,54 @@ def _small(parts: int) -> type:
     return np.uint16 if parts <= 65_536 else np.uint32
 
 
-def _send_tokens(parts: int, k: int):
-    """Texts to packed tokens by owner, and each row's id, set size and set digest."""
+def _own(tokens: np.ndarray, parts: int) -> np.ndarray:
+    return ((tokens >> np.uint64(40)) % np.uint64(parts)).astype(_small(parts))
+
+
+def _named(tokens: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Tokens as sets hold them: 48 bits and the owner's number."""
+    return mix64((tokens & _LOW48) ^ mix64(owners.astype(np.uint64)))
+
+
+def _find_often(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that very many sets hold, sorted, with a figure for how many.
+
+    No owner could hold all sets of such a token. They are found in a sample of at most about ``SAMPLE`` rows, so there are
+    at most ``SAMPLE / OFTEN`` times as many as a set has tokens. A token that is missed goes to its owner like any other:
+    the sample decides the way a token takes, never what is found.
+    """
+    total = rows.count()
+    fraction = min(1.0, SAMPLE / max(total, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate(held or [seen[:0]]), return_counts=True)
+            both, at = np.unique(np.concatenate([seen, new]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+        for batch in batches:
+            for _, n_rows, words, row in word_hashes(batch.column(0)):
+                hashes, bounds = shingles(words, row, n_rows, k)
+                held += [np.unique(hashes[bounds[r] : bounds[r + 1]]) for r in range(n_rows)]
+                if sum(map(len, held)) >= HELD:
+                    (seen, counts), held = merge(), []
+                    seen, counts = seen[counts > 1], counts[counts > 1]
+        seen, counts = merge()
+        seen, counts = seen[counts > 1], counts[counts > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(counts)], names=["token", "n"])
+
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * fraction))).select("text")
+    found = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN).collect()
+    tokens, n = np.array([r["token"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], float)
+    order = np.argsort(tokens)
+    return tokens[order], np.minimum(n[order] / fraction, 2**31 - 1).astype(np.int32)
+
+
+def _send_tokens(parts: int, k: int, often: np.ndarray, counts: np.ndarray):
+    """Texts to packed tokens by owner, and each row's id, set size and set digest; tokens of very many sets go straight home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tokens, ids, sizes
@@ -87,10 +145,21 @@ def _send_tokens(parts: int, k: int):
 
         def flush() -> pa.RecordBatch:
             tokens, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            owner = ((tokens >> np.uint64(40)) % np.uint64(parts)).astype(_small(parts))
+            out = []
+            if len(often):
+                at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
+                hit = often[at] == tokens
+                t, i, n = tokens[hit], ids[hit], counts[at[hit]]
+                home = _home(i, parts)
+                by = np.argsort(home, kind="stable")
+                t, i, n, home = _named(t, _own(t, parts))[by], i[by], n[by], home[by]
+                for s, m in zip(*_runs(home), strict=True):
+                    rs, rn = _runs(i[s : s + m])
+                    out.append((int(home[s]), _OFTEN, i[s : s + m][rs].tobytes(), None, rn.astype(np.int32).tobytes(), t[s : s + m].tobytes(), n[s : s + m].tobytes()))
+                tokens, ids, sizes = tokens[~hit], ids[~hit], sizes[~hit]
+            owner = _own(tokens, parts)
             order = np.argsort(owner, kind="stable")
             owner, tokens, ids, sizes = owner[order], tokens[order], ids[order], sizes[order]
-            out = []
             for s, n in zip(*_runs(owner), strict=True):
                 here = ids[s : s + n]
                 rs, rn = _runs(here)
@@ -137,7 +206,7 @@ def _count_tokens(parts: int):
         for batch in batches:
             meta = []
             for row in batch.to_pylist():
-                if row["kind"] == _META:
+                if row["kind"] != _SHARED:
                     meta.append(tuple(row.values()))
                 else:
                     mine.setdefault(row["part"], []).append((row["ids"], row["sizes"], row["runs"], row["tokens"]))
@@ -157,7 +226,7 @@ def _count_tokens(parts: int):
             tokens, ids, often = tokens[kept], ids[order][kept], np.minimum(often[kept], 2**31 - 1).astype(np.int32)
             home = _home(ids, parts)
             by = np.lexsort((ids, home))
-            tokens, ids, often, home = mix64(tokens[by] ^ mix64(np.array([part], np.uint64))), ids[by], often[by], home[by]
+            tokens, ids, often, home = _named(tokens[by], np.array([part])), ids[by], often[by], home[by]
             out = []
             for s, m in zip(*_runs(home), strict=True):
                 rs, rn = _runs(ids[s : s + m])
@@ -349,43 +418,95 @@ def _link_heads(num: int, den: int):
     return run
 
 
-def _open_groups(num: int, den: int):
-    """For pairs of groups: bound each set's overlap with the other group's union, open what qualifies, link what reaches it.
+def _between(a: dict, b: dict, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between two groups: bound each set's overlap with the other group's union, open what qualifies.
+
+    Of the links, a spanning forest is kept.
+    """
+    joined = np.intersect1d(np.frombuffer(a["joined"], np.uint64), np.frombuffer(b["joined"], np.uint64), assume_unique=True)
+    n_a, n_b = np.array(a["sizes"], np.int64), np.array(b["sizes"], np.int64)
+    if den * len(joined) < num * n_a.min() or den * len(joined) < num * n_b.min():
+        return []
+    held = _matrix([np.frombuffer(x, np.uint64) for x in a["sets"]], joined)
+    mine = np.flatnonzero((den * held.sum(1) >= num * n_a) & (den * n_b.max() >= num * n_a) & (den * n_a >= num * n_b.min()))
+    if not len(mine):
+        return []
+    other = _matrix([np.frombuffer(x, np.uint64) for x in b["sets"]], joined)
+    theirs = np.flatnonzero(den * other.sum(1) >= num * n_b)
+    reach = _reach(held[mine] @ other[theirs].T, n_a[mine], n_b[theirs], num, den)
+    if not reach.any():
+        return []
+    # What each group knows of its own links need not be said again.
+    place: dict[int, int] = {}
+    for i in [*a["ids"], *b["ids"], *[x for e in [*a["edges"], *b["edges"]] for x in (e["a"], e["b"])]]:
+        place.setdefault(i, len(place))
+    forest, out = _Forest(len(place)), []
+    for e in [*a["edges"], *b["edges"]]:
+        forest.join(place[e["a"]], place[e["b"]])
+    for i, j in zip(*np.nonzero(reach), strict=True):
+        x, y = a["ids"][mine[i]], b["ids"][theirs[j]]
+        if forest.join(place[x], place[y]):
+            out.append((x, y))
+    return out
+
 
-    Of the links between two groups, a spanning forest is kept.
+def _form_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups in order of a token in which they meet others: a bounded number of neighbours is a block."""
+    held: list[dict] = []
+    amount = 0
+
+    def block() -> pa.RecordBatch:
+        tokens: dict[int, set[str]] = {}
+        for g in held:
+            for t in g["meets"]:
+                tokens.setdefault(t, set()).add(g["comp"])
+        cells = [{"token": t, "x": min(c), "y": max(c)} for t, c in tokens.items()]
+        row = (held[0]["gid"], min(g["low"] for g in held), max(g["high"] for g in held), cells, list(held))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS_ARROW, strict=True)], schema=_BLOCKS_ARROW)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            size = sum(map(len, row["sets"])) + len(row["joined"]) + 8 * len(row["meets"])
+            if held and (len(held) >= BLOCK or amount + size > BLOCK_BYTES):
+                yield block()
+                held, amount = [], 0
+            held.append({f.name: row[f.name] for f in _GROUP_TYPE})
+            amount += size
+    if held:
+        yield block()
+
+
+def _open_blocks(num: int, den: int, pairs: bool):
+    """Links between the groups of two blocks, or of one; ``a`` and ``b`` are the ends of a link.
+
+    Groups are compared if they meet in a token of both prefixes, their sizes fit and nothing ties them together yet.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(row: dict) -> list[tuple[int, int]]:
-        joined = np.intersect1d(np.frombuffer(row["a_joined"], np.uint64), np.frombuffer(row["b_joined"], np.uint64), assume_unique=True)
-        n_a, n_b = np.array(row["a_sizes"], np.int64), np.array(row["b_sizes"], np.int64)
-        if den * len(joined) < num * n_a.min() or den * len(joined) < num * n_b.min():
-            return []
-        a = _matrix([np.frombuffer(x, np.uint64) for x in row["a_sets"]], joined)
-        mine = np.flatnonzero((den * a.sum(1) >= num * n_a) & (den * n_b.max() >= num * n_a) & (den * n_a >= num * n_b.min()))
-        if not len(mine):
-            return []
-        b = _matrix([np.frombuffer(x, np.uint64) for x in row["b_sets"]], joined)
-        theirs = np.flatnonzero(den * b.sum(1) >= num * n_b)
-        reach = _reach(a[mine] @ b[theirs].T, n_a[mine], n_b[theirs], num, den)
-        if not reach.any():
-            return []
-        # What each group knows of its own links need not be said again.
-        place: dict[int, int] = {}
-        for i in [*row["a_ids"], *row["b_ids"], *[x for e in [*row["a_edges"], *row["b_edges"]] for x in (e["a"], e["b"])]]:
-            place.setdefault(i, len(place))
-        forest, out = _Forest(len(place)), []
-        for e in [*row["a_edges"], *row["b_edges"]]:
-            forest.join(place[e["a"]], place[e["b"]])
-        for i, j in zip(*np.nonzero(reach), strict=True):
-            x, y = row["a_ids"][mine[i]], row["b_ids"][theirs[j]]
-            if forest.join(place[x], place[y]):
-                out.append((x, y))
+    def links(left: list[dict], right: list[dict] | None) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        meets = [set(g["meets"]) for g in left]
+        others = meets if right is None else [set(g["meets"]) for g in right]
+        names = {c: i for i, c in enumerate({g["comp"] for g in [*left, *(right or [])]})}
+        forest = _Forest(len(names))
+        for i, a in enumerate(left):
+            for j, b in enumerate(left[:i] if right is None else right):
+                if den * a["high"] < num * b["low"] or den * b["high"] < num * a["low"] or meets[i].isdisjoint(others[j]):
+                    continue
+                x, y = names[a["comp"]], names[b["comp"]]
+                if forest.root(x) == forest.root(y):
+                    continue
+                found = _between(a, b, num, den)
+                out += found
+                if found and a["comp"][0] == b["comp"][0] == "c":
+                    forest.join(x, y)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _rows(schema, [x for row in batch.to_pylist() for x in links(row)])
+            for i in range(batch.num_rows):
+                left = batch.column(0)[i].as_py()
+                yield _rows(schema, links(left, batch.column(1)[i].as_py() if pairs else None))
 
     return run
 
@@ -422,7 +543,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     parts = min(1 << 20, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = rows.mapInArrow(_send_tokens(parts, k), _PACKED)
+    packed = rows.mapInArrow(_send_tokens(parts, k, *_find_often(rows, k)), _PACKED)
     counted = packed.repartitionById(parts, "part").mapInArrow(_count_tokens(parts), _PACKED)
     sets = materialise(counted.repartitionById(parts, "part").mapInArrow(_build_sets(num, den), _SETS), "sets")
 
@@ -447,21 +568,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # A group within one component goes by its name; any other by a name of its own.
     members = groups.select("gid", F.explode("ids").alias("id")).join(known, F.col("id") == F.col("node"), "left")
     spans = members.groupBy("gid").agg(F.min(F.coalesce("component", "id")).alias("x"), F.max(F.coalesce("component", "id")).alias("y"))
-    named = groups.join(spans, "gid").withColumn("comp", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(-F.col("gid") - 1))
+    comp = F.when(F.col("x") == F.col("y"), F.concat(F.lit("c"), "x")).otherwise(F.concat(F.lit("g"), "gid"))
+    names = spans.select("gid", comp.alias("comp"))
     # Rows of the matrix: prefix tokens by group. Only tokens in which two names meet say anything new.
-    cells = materialise(named.select(F.explode("prefix").alias("token"), "gid", "comp", "low", "high"), "cells")
+    cells = materialise(groups.select("gid", F.explode("prefix").alias("token")).join(names, "gid"), "cells")
     meeting = cells.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    cells = cells.join(meeting, "token", "left_semi")
-    met = cells.groupBy("token", "comp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    meets = cells.join(meeting, "token", "left_semi").groupBy("gid").agg(F.first("comp").alias("comp"), F.collect_list("token").alias("meets"))
+    # Groups that meet are packed into blocks, and pairs of blocks are compared: a token that many groups hold pairs blocks only.
+    order = ("_near", "low", "gid")
+    near = groups.drop("prefix").join(meets, "gid").withColumn("_near", F.array_min(F.transform("meets", lambda t: F.xxhash64(t))))
+    blocks = materialise(near.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_form_blocks, _BLOCKS), "blocks")
+    rows = blocks.select("bid", "low", "high", F.explode("cells").alias("c")).select("bid", "low", "high", "c.*")
     fits = (F.col("l.high") * den >= F.col("r.low") * num) & (F.col("r.high") * den >= F.col("l.low") * num)
-    pairs = met.alias("l").join(met.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") < F.col("r.comp")) & fits)
-    pairs = pairs.select(F.col("l.token").alias("token"), F.col("l.comp").alias("ca"), F.col("r.comp").alias("cb"))
-    left = cells.select("token", F.col("comp").alias("ca"), F.col("gid").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-    right = cells.select("token", F.col("comp").alias("cb"), F.col("gid").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
-    close = (F.col("a_high") * den >= F.col("b_low") * num) & (F.col("b_high") * den >= F.col("a_low") * num)
-    candidates2 = pairs.join(left, ["token", "ca"]).join(right, ["token", "cb"]).filter(close).select("a", "b").distinct()
-    a_side, b_side = (groups.select(F.col("gid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("ids", "sizes", "sets", "joined", "edges")]) for x in "ab")
-    opened = candidates2.join(a_side, "a").join(b_side, "b").mapInArrow(_open_groups(num, den), "a long, b long")
+    new = (F.least("l.x", "r.x") != F.greatest("l.y", "r.y")) & (F.col("l.bid") < F.col("r.bid"))
+    pairs = rows.alias("l").join(rows.alias("r"), (F.col("l.token") == F.col("r.token")) & new & fits).select(F.col("l.bid").alias("p"), F.col("r.bid").alias("q")).distinct()
+    sides = [blocks.select(F.col("bid").alias(x), F.col("held").alias(f"{x}_held")) for x in "pq"]
+    apart = pairs.join(sides[0], "p").join(sides[1], "q").select("p_held", "q_held").mapInArrow(_open_blocks(num, den, True), "a long, b long")
+    opened = blocks.select("held").mapInArrow(_open_blocks(num, den, False), "a long, b long").union(apart)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(opened))
 
     # From components to their members, the copies of these and the smallest id of all.

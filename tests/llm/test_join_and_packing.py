@@ -81,6 +81,22 @@ def test_full_groups_are_tied(spark, monkeypatch):
     assert got == brute(rows, 3, 80)
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_blocks_and_frequent_tokens(spark, monkeypatch, block):
+    """Small groups in small blocks, and tokens that many sets hold, which take the short way: no link is lost."""
+    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "OFTEN", 6)
+    rng = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(25))
+    texts = family(rng, 40, 12) + family(rng, 30, 4) + [f"{t} {common}" for t in family(rng, 30, 14, 40)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(ngram_join._find_often(docs.select("doc_id", "text"), 3)[0]) > 20
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, k=3, num=80).collect()}
+    assert got == brute(rows, 3, 80)
+
+
 def test_join_odd_rows(odd, empty):
     got = ngram_join.jaccard_components(odd).collect()
     assert len(got) == odd.count()
