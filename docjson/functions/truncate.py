@@ -8,6 +8,7 @@ rendering is for reading and is no JSON.
 from __future__ import annotations
 
 import json
+from collections import deque
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,13 +17,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-class _Gap:
-    """Stands where something was cut; no value of a document is it."""
-
-
-GAP = _Gap()
-
-
 @dataclass(frozen=True)
 class Limits:
     # The defaults of the rendering.
@@ -35,63 +29,98 @@ class Limits:
 
 @dataclass
 class _Node:
-    """A value under cutting: ``parts`` of a container are (key, node) pairs, in which a gap is a node of its own."""
+    """A value under cutting. Once a container is cut, ``parts`` are those before the gap and ``after`` those behind it."""
 
     value: Any
     depth: int
-    parts: list[tuple[Any, _Node]] | None = None
+    parts: deque[tuple[Any, _Node]] | None = None
+    after: deque[tuple[Any, _Node]] | None = None
+    up: _Node | None = None
     cut: int | None = None
+    size: int = 0
 
     @classmethod
-    def of(cls, x: Any, depth: int = 0) -> _Node:
+    def of(cls, x: Any, depth: int = 0, up: _Node | None = None) -> _Node:
+        made = cls(x, depth, up=up)
         if isinstance(x, dict):
-            return cls({}, depth, [(k, cls.of(v, depth + 1)) for k, v in x.items()])
-        if isinstance(x, list):
-            return cls([], depth, [(None, cls.of(v, depth + 1)) for v in x])
-        return cls(x, depth)
+            made.value, made.parts = {}, deque((k, cls.of(v, depth + 1, made)) for k, v in x.items())
+        elif isinstance(x, list):
+            made.value, made.parts = [], deque((None, cls.of(v, depth + 1, made)) for v in x)
+        return made
 
-    @property
-    def gap(self) -> bool:
-        return self.value is GAP
+    def inner(self):
+        yield from self.parts or ()
+        yield from self.after or ()
 
     def walk(self):
         yield self
-        for _, p in self.parts or ():
-            if not p.gap:
-                yield from p.walk()
+        for _, p in self.inner():
+            yield from p.walk()
+
+    def count(self) -> int:
+        """Parts, the gap included."""
+        return len(self.parts) + (0 if self.after is None else 1 + len(self.after))
 
 
 class _Cutter:
+    """Cuts until the rendering fits. Sizes of renderings are kept at the nodes, so a cut costs no more than its depth."""
+
     def __init__(self, root: _Node, limit: int, limits: Limits):
         self.root, self.limit, self.o = root, limit, limits
 
-    def render(self, n: _Node, level: int = 0) -> str:
-        if n.gap:
-            return "..."
+    def leaf(self, n: _Node) -> str:
+        v = n.value
+        if n.cut is not None and isinstance(v, str) and len(v) > n.cut:
+            v = v[: max(0, n.cut - self.o.ellipsis)] + "..."
+        return json.dumps(v, ensure_ascii=False)
+
+    def render(self, n: _Node) -> str:
         if n.parts is None:
-            v = n.value
-            if n.cut is not None and isinstance(v, str) and len(v) > n.cut:
-                v = v[: max(0, n.cut - self.o.ellipsis)] + "..."
-            return json.dumps(v, ensure_ascii=False)
+            return self.leaf(n)
         left, right = "{}" if isinstance(n.value, dict) else "[]"
-        if not n.parts:
+        lines = [self._part(k, p) for k, p in n.parts]
+        if n.after is not None:
+            lines += ["...", *(self._part(k, p) for k, p in n.after)]
+        if not lines:
             return left + right
-        if len(n.parts) == 1 and n.parts[0][1].gap:
+        if lines == ["..."] and n.after is not None:
             return f"{left}...{right}"
         pad = " " * self.o.indent
-        inner = ",\n".join(pad * (level + 1) + self._part(k, p, level + 1) for k, p in n.parts)
-        return f"{left}\n{inner}\n{pad * level}{right}"
+        inner = ",\n".join(pad * (n.depth + 1) + x for x in lines)
+        return f"{left}\n{inner}\n{pad * n.depth}{right}"
 
-    def _part(self, key: Any, p: _Node, level: int) -> str:
-        return self.render(p, level) if p.gap or key is None else f'"{key}": {self.render(p, level).strip()}'
+    def _part(self, key: Any, p: _Node) -> str:
+        return self.render(p) if key is None else f'"{key}": {self.render(p)}'
+
+    def _part_size(self, key: Any, p: _Node) -> int:
+        return p.size if key is None else p.size + len(key) + 4
+
+    def _frame(self, n: _Node, inner: int) -> int:
+        """The size of a container whose parts, the gap included, have ``inner`` characters in all."""
+        k = n.count()
+        if not k:
+            return 2
+        if k == 1 and n.after is not None:
+            return 5
+        return 2 + 2 + self.o.indent * n.depth + inner + k * self.o.indent * (n.depth + 1) + 2 * (k - 1)
+
+    def measure(self, n: _Node) -> int:
+        if n.parts is None:
+            n.size = len(self.leaf(n))
+        else:
+            inner = sum(self.measure(p) and self._part_size(k, p) for k, p in n.inner())
+            n.size = self._frame(n, inner + (0 if n.after is None else 3))
+        return n.size
 
     def fits(self) -> bool:
-        return len(self.render(self.root)) <= self.limit
+        return self.root.size <= self.limit
 
     def run(self) -> str:
+        self.measure(self.root)
         if not self.fits() and not self._strings():
-            while not self.fits() and (self._thin(list, self.o.items) or self._thin(dict, self.o.keys)):
-                pass
+            self.measure(self.root)
+            if not self.fits():
+                self._thin(list, self.o.items) or self._thin(dict, self.o.keys)
         return self.render(self.root).replace("...,\n", "...\n")
 
     def _strings(self) -> bool:
@@ -99,11 +128,14 @@ class _Cutter:
         long = [n for n in self.root.walk() if isinstance(n.value, str) and len(n.value) > self.o.string]
         if not long:
             return False
+        rest = self.root.size - sum(n.size for n in long)
 
         def at(length: int) -> bool:
+            total = rest
             for n in long:
                 n.cut = length
-            return self.fits()
+                total += len(self.leaf(n))
+            return total <= self.limit
 
         low, high = self.o.string, max(len(n.value) for n in long)
         if not at(low):
@@ -121,20 +153,40 @@ class _Cutter:
         return True
 
     def _thin(self, kind: type, least: int) -> bool:
-        """One cut in each container of a kind at the deepest level that has more than one part."""
-        open_ = [n for n in self.root.walk() if isinstance(n.value, kind) and n.parts is not None and len(n.parts) > 1]
-        if not open_:
-            return False
-        deepest = max(n.depth for n in open_)
-        for n in (n for n in open_ if n.depth == deepest):
-            gap = next((i for i, (_, p) in enumerate(n.parts) if p.gap), None)
-            if gap is None:
-                n.parts[len(n.parts) // 2] = (None, _Node(GAP, n.depth + 1))
-            elif len(n.parts) - 1 > least:
-                del n.parts[gap - 1 if gap > len(n.parts) - 1 - gap else gap + 1]
-            else:
-                n.parts[:] = [n.parts[gap]]
-        return True
+        """From the deepest level up, one cut at a time in each container of a kind with more than one part; whether it fits now."""
+        levels: dict[int, list[_Node]] = {}
+        for n in self.root.walk():
+            if isinstance(n.value, kind) and n.parts is not None and n.count() > 1:
+                levels.setdefault(n.depth, []).append(n)
+        for depth in sorted(levels, reverse=True):
+            open_ = levels[depth]
+            while open_:
+                for n in open_:
+                    self._cut(n, least)
+                if self.fits():
+                    return True
+                open_ = [n for n in open_ if n.count() > 1]
+        return False
+
+    def _cut(self, n: _Node, least: int) -> None:
+        k, frame = n.count(), self._frame(n, 0)
+        if n.after is None:
+            n.after = deque(list(n.parts)[k // 2 + 1 :])
+            for _ in n.after:
+                n.parts.pop()
+            gone = self._part_size(*n.parts.pop()) - 3
+        elif k - 1 > least:
+            gone = self._part_size(*(n.parts.pop() if len(n.parts) > len(n.after) else n.after.popleft()))
+            gone += 3 if k == 2 else 0  # the gap alone is part of the frame
+        else:
+            gone = sum(self._part_size(*p) for p in n.inner()) + 3
+            n.parts.clear()
+            n.after.clear()
+        less = gone + frame - self._frame(n, 0)
+        at: _Node | None = n
+        while at is not None:
+            at.size -= less
+            at = at.up
 
 
 def truncate(data: Any, limit: int, limits: Limits | None = None) -> str:
@@ -143,12 +195,12 @@ def truncate(data: Any, limit: int, limits: Limits | None = None) -> str:
 
 
 def json_truncate(document: Column, limit: int, limits: Limits | None = None) -> Column:
-    """:func:`truncate` of JSON text, Arrow-batched; null and what is no JSON give null."""
+    """:func:`truncate` of JSON text, Arrow-batched; null, what is no JSON and what is nested too deep for the parser give null."""
 
     def one(text: str | None) -> str | None:
         try:
             return None if text is None else truncate(json.loads(text), limit, limits)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     def batch(values: pd.Series) -> pd.Series:

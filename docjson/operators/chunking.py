@@ -74,10 +74,6 @@ def merge_small(chunks: Column, least: int = LEAST) -> Column:
     return F.when(chunks.isNotNull(), F.aggregate(chunks, start, step, finish))
 
 
-def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.?!])\s+")
-
-
 def hashed_embedding(values: pd.Series, dims: int = 64) -> pd.Series:
     """A unit vector of signed hashed word counts: the embedding where no model is given."""
     import zlib
@@ -107,25 +103,19 @@ def breakpoints(points: DataFrame, key: str, order: str, vector: str, percentile
 
 
 def semantic_chunks(docs: DataFrame, embed=hashed_embedding, percentile: float = PERCENTILE, least: int = LEAST) -> DataFrame:
-    """``doc_id, chunks``: sentences up to each break in meaning, then :func:`merge_small`; blank texts have no chunks."""
+    """``doc_id, chunks``: sentences up to each break in meaning, short chunks glued; null and blank texts have no chunks.
 
-    def embedded(values: pd.Series) -> pd.Series:
-        return embed(values)
+    A document is one row from text to chunks, so nothing is shuffled. :func:`breakpoints` is the same over a table of points.
+    """
+
+    def split(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: semantic_split(t, embed, percentile, least) if t else [])
 
-    vector = F.pandas_udf(embedded, "array<float>")
-    text = F.col("text")
-    blank = F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("")) == ""
-    each = docs.filter(~blank).select("doc_id", F.posexplode(sentences(text)).alias("pos", "sentence"))
-    cut = breakpoints(each.withColumn("vector", vector("sentence")), "doc_id", "pos", "vector", percentile)
-    part = F.sum(F.col("breaks").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos"))
-    joined = cut.withColumn("part", part).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ").alias("chunk"))
-    whole = joined.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk"))), lambda s: s["chunk"]).alias("chunks"))
-    none = docs.filter(blank).select("doc_id", F.array().cast("array<string>").alias("chunks"))
-    return whole.select("doc_id", merge_small(F.col("chunks"), least).alias("chunks")).unionByName(none)
+    return docs.select("doc_id", F.pandas_udf(split, "array<string>")(F.col("text")).alias("chunks"))
 
 
 def semantic_split(text: str, embed: Embedding = hashed_embedding, percentile: float = PERCENTILE, least: int = LEAST) -> list[str]:
-    """What :func:`semantic_chunks` makes of one text, on the spot."""
+    """One text's sentences up to each break in meaning, short chunks glued as by :func:`merge_small`."""
     if not text.strip(" \t\n\r\f\v"):
         return []
     said = re.split(r"(?<=[.?!])\s+", text, flags=re.ASCII)

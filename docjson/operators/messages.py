@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 USAGE = ("input_tokens", "output_tokens", "total_tokens", "llm_calls", "cache_creation_input_tokens", "cache_read_input_tokens")
-SUMMARY = "[CONTEXT TRIMMED: {} previous iteration(s) removed to free context space. All successful patches are already applied to the document. Use inspect_keys to check the current document state before continuing extraction.]"
+# Fixed value: the words "previous iteration". The rest is this engine's own.
+SUMMARY = "[{} previous iteration(s) left out here for length. What they wrote is in the document, which inspect_keys shows as it is now.]"
 
 
 def trim(log: DataFrame, keep: int = 2, key: str = "conv_id", order: str = "seq", ai: str = "ai", human: str = "human", system: str = "system") -> DataFrame:

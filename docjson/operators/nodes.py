@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docjson.functions.pointer import escape
@@ -20,9 +21,11 @@ def native_nodes(docs: DataFrame, document: str = "json") -> DataFrame:
     """``doc_id, ptr, depth, key, idx, kind, scalar`` by a recursive query over variants, without Python.
 
     Levels are expanded in bulk, so order is that of depth and not of the document, and numbers are in variant form.
-    ``docs(doc_id, json)``; what is no JSON has no nodes.
+    ``docs(doc_id, json)``; what is no JSON has no nodes. The parser's own limit of 1,000 levels is that of the recursion. The
+    session's limit on rows of a recursion, made for endless ones, is lifted: this one ends with the deepest value.
     """
-    view = "_docjson_native_nodes"
+    view = f"_docjson_nodes_{uuid.uuid4().hex}"
+    docs.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     docs.select("doc_id", F.expr(f"try_parse_json(`{document}`)").alias("v")).filter("v is not null").createOrReplaceTempView(view)
     return docs.sparkSession.sql(f"""
         WITH RECURSIVE n(doc_id, ptr, depth, key, idx, v) MAX RECURSION LEVEL 1000 AS (
@@ -39,7 +42,10 @@ def native_nodes(docs: DataFrame, document: str = "json") -> DataFrame:
 
 
 def ordered_nodes(docs: DataFrame, document: str = "json") -> DataFrame:
-    """The node table in document order, with number text as Python writes it; one Arrow pass, no shuffle."""
+    """The node table in document order, with number text as Python writes it; one Arrow pass, no shuffle.
+
+    What is no JSON, or nested too deep for the parser, has no nodes.
+    """
 
     def rows(doc_id: int | None, root: object) -> Iterator[tuple]:
         count = 0
@@ -65,7 +71,7 @@ def ordered_nodes(docs: DataFrame, document: str = "json") -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     root = json.loads(text) if text is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
                 if text is None:
                     continue
@@ -79,6 +85,17 @@ def ordered_nodes(docs: DataFrame, document: str = "json") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{document}`")).mapInArrow(run, _SHAPE)
 
 
+def col_leaves(document: Column) -> Column:
+    """How many values of JSON text are no containers, counted in its row inside the JVM.
+
+    Strings are shortened to one letter each, whether key or value; what is no container is then a token without a colon
+    after it. Null, what is no JSON, and what the variant parser refuses (over 1,000 levels, a key twice) give null.
+    """
+    short = F.regexp_replace(document, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "s")
+    count = F.regexp_count(short, F.lit(r"s(?!\s*:)|true|false|null|-?[0-9][0-9.eE+-]*")).cast("long")
+    return F.when(F.try_parse_json(document).isNotNull(), count)
+
+
 def leaf_counts(table: DataFrame) -> DataFrame:
     """``doc_id, leaves``: values that are no containers."""
     return table.groupBy("doc_id").agg(F.count_if(~F.col("kind").isin("object", "array")).alias("leaves"))

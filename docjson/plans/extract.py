@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,28 @@ def update_guidance(**given: Any) -> dict[str, Any]:
     return {"finalized": True, "guidance": {**{k: given.get(k, "") for k in GUIDANCE}, "extracted_entities_count": given.get("extracted_entities_count", 0)}}
 
 
+def latest_guidance(chunks: DataFrame) -> DataFrame:
+    """``doc_id, guidance``: what the last chunk of each document leaves, of ``chunks(doc_id, chunk_idx, args)``.
+
+    ``args`` is the JSON text of the call; the last one of each document is picked by a partial aggregation, and only it
+    becomes a record. Null, and what is no object, is a call without arguments.
+    """
+
+    def record(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: json.dumps(update_guidance(**_object(t))["guidance"], ensure_ascii=False))
+
+    last = chunks.groupBy("doc_id").agg(F.max_by(F.struct("args"), "chunk_idx")["args"].alias("args"))
+    return last.select("doc_id", F.pandas_udf(record, "string")("args").alias("guidance"))
+
+
+def _object(text: str | None) -> dict[str, Any]:
+    try:
+        x = json.loads(text) if text else {}
+    except (ValueError, RecursionError):
+        return {}
+    return x if isinstance(x, dict) else {}
+
+
 def add_usage(current: dict | None, new: dict | None) -> dict:
     """Counters summed field by field; nothing plus nothing is nothing."""
     if not new:
@@ -147,9 +170,20 @@ class Run:
     guidance: dict = field(default_factory=dict)
     usage: dict = field(default_factory=dict)
     error: str | None = None
+    #: Is told of each step, as it is done.
+    on_step: Callable[[dict], None] | None = None
 
     def __post_init__(self) -> None:
         self._compiled = Schema(self.schema) if self.schema is not None else None
+        self._at = {"chunk_idx": 0, "total": 0, "attempt": 0, "iteration": 0}
+        self._told: dict = {}
+
+    def _step(self, node: str, tools: list[str] | None = None, **at: int) -> None:
+        self._at |= at
+        if self.on_step is not None:
+            spent = {k: v - self._told.get(k, 0) for k, v in self.usage.items()}
+            self._told = dict(self.usage)
+            self.on_step({"node": node, **self._at, "tools": tools or [], "usage": {k: v for k, v in spent.items() if v}})
 
     def tool(self, name: str, args: dict) -> dict[str, Any]:
         """One tool call on the document; a write or a guidance takes effect at once."""
@@ -212,14 +246,18 @@ class Run:
             if attempt:
                 human += f"\n\n⚠️ RETRY ATTEMPT {attempt}/{self.settings.max_chunk_retries}: extract what remains and finalize this chunk with update_guidance."
             messages = [Message("system", system_prompt(self.schema, self.guidance, self.document, self.settings)), Message("human", human)]
-            for _ in range(self.settings.max_iterations_per_chunk):
+            self._step("prepare_chunk", chunk_idx=i, total=total, attempt=attempt, iteration=0)
+            for iteration in range(1, self.settings.max_iterations_per_chunk + 1):
                 messages = add_messages(messages, self._ask(messages))
                 calls = messages[-1].tool_calls
-                if not calls:  # an answer without a call ends the chunk
-                    return
-                said, done = self._act(calls)
-                messages += said
+                self._step("call_model", [c["name"] for c in calls], iteration=iteration)
+                done = not calls  # an answer without a call ends the chunk
+                if calls:
+                    said, done = self._act(calls)
+                    messages += said
+                    self._step("execute_tools")
                 if done:
+                    self._step("finalize_chunk")
                     return
 
     def all(self, chunks: list[str]) -> dict[str, Any]:
@@ -231,10 +269,10 @@ class Run:
         return {"json_document": self.document, "metadata": {"total_chunks": total, "final_guidance": self.guidance, "token_usage": self.usage}, "error": self.error}
 
 
-def extract(text: str, planner: Planner, schema: dict | None = None, settings: Settings | None = None, embed: Embedding | None = None) -> dict[str, Any]:
+def extract(text: str, planner: Planner, schema: dict | None = None, settings: Settings | None = None, embed: Embedding | None = None, on_step: Callable[[dict], None] | None = None) -> dict[str, Any]:
     """Extraction of one text on the spot; with an embedding, from semantic chunks, if they can be made."""
     s = settings or Settings()
-    run = Run(planner, schema, s)
+    run = Run(planner, schema, s, on_step=on_step)
     if not text:
         run.error = "No text provided for processing."
         return run.result(0)

@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docjson.functions import formats, pointer
-from docjson.functions.schema import Schema
+from docjson.functions.schema import problem_count
 from docjson.functions.truncate import json_truncate
 from docjson.operators import chunking, messages, nodes, patch, read
-from docjson.plans.extract import extract_documents
+from docjson.plans.extract import ScriptedPlanner, extract_documents, latest_guidance
+from docjson.plans.progress import extract_events, progress
+from docjson.plans.progress import result_counts as result_counts_of
+from docjson.settings import Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,7 +75,7 @@ FROM c LEFT JOIN o ON c.doc_id = o.doc_id AND o.i = 0""")
 def pointer_resolve(spark: SparkSession, sf: str) -> DataFrame:
     docs = _customers(spark, sf)
     asked = docs.select("doc_id", F.lit("/orders/0/status").alias("ptr"))
-    return nodes.resolve(nodes.ordered_nodes(docs), asked)
+    return nodes.resolve(nodes.native_nodes(docs), asked)
 
 
 # Node table.
@@ -91,18 +93,24 @@ UNION ALL SELECT doc_id, '/orders/' || i || '/priority', 3, 'string', p FROM o)
 
 @query(_NODES + "SELECT doc_id, ptr, depth, kind, scalar FROM n")
 def node_table(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes.ordered_nodes(_customers(spark, sf)).select("doc_id", "ptr", "depth", "kind", "scalar")
+    return nodes.native_nodes(_customers(spark, sf)).select("doc_id", "ptr", "depth", "kind", "scalar")
 
 
-@query(_NODES + "SELECT doc_id, ptr, depth, kind, scalar FROM n")
-def node_table_native(spark: SparkSession, sf: str) -> DataFrame:
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return nodes.native_nodes(_customers(spark, sf)).select("doc_id", "ptr", "depth", "kind", "scalar")
+@query(_NODES + """, x AS (SELECT *, CASE ptr WHEN '' THEN 0 WHEN '/name' THEN 1 WHEN '/segment' THEN 2 WHEN '/orders' THEN 3 ELSE
+  4 + 4 * CAST(split_part(ptr, '/', 3) AS INTEGER) + CASE split_part(ptr, '/', 4) WHEN '' THEN 0 WHEN 'key' THEN 1 WHEN 'status' THEN 2 ELSE 3 END END AS ord FROM n)
+SELECT doc_id, ptr, ord, depth, kind, scalar FROM x""")
+def node_table_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes.ordered_nodes(_customers(spark, sf)).select("doc_id", "ptr", "ord", "depth", "kind", "scalar")
 
 
 @query(_NODES + "SELECT doc_id, count(*) FILTER (kind NOT IN ('object', 'array')) AS leaves FROM n GROUP BY doc_id")
 def leaf_count(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes.leaf_counts(nodes.ordered_nodes(_customers(spark, sf)))
+    return _customers(spark, sf).select("doc_id", nodes.col_leaves(F.col("json")).alias("leaves"))
+
+
+@query(_NODES + "SELECT doc_id, count(*) FILTER (kind NOT IN ('object', 'array')) AS leaves FROM n GROUP BY doc_id")
+def leaf_count_of_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes.leaf_counts(nodes.native_nodes(_customers(spark, sf)))
 
 
 # Read operators.
@@ -145,12 +153,12 @@ def read_value_array_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_CUSTOMERS} SELECT doc_id, '/orders/' || i || '/priority' AS ptr, p AS scalar FROM o WHERE p = '1-URGENT'""")
 def search_value_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes.search(nodes.ordered_nodes(_customers(spark, sf)), "1-URGENT").select("doc_id", "ptr", "scalar")
+    return nodes.search(nodes.native_nodes(_customers(spark, sf)), "1-URGENT").select("doc_id", "ptr", "scalar")
 
 
 @query(f"""WITH {_CUSTOMERS} SELECT doc_id, '/orders/' || i || '/status' AS ptr FROM o""")
 def search_key(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes.search(nodes.ordered_nodes(_customers(spark, sf)), "status", by_key=True).select("doc_id", "ptr")
+    return nodes.search(nodes.native_nodes(_customers(spark, sf)), "status", by_key=True).select("doc_id", "ptr")
 
 
 @query(f"""WITH {_CUSTOMERS}, m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM o WHERE s = 'F')
@@ -175,22 +183,13 @@ def search_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").filter(read.col_alike(F.col("p_name"), F.lit("Red wigdet"))).select("p_partkey", "p_name")
 
 
-def _accents(docs: DataFrame, text: Column) -> DataFrame:
-    docs = docs.filter("text is not null").select("doc_id", F.to_json(F.struct(text.alias("t"))).alias("json"))
+@query("""SELECT doc_id, contains(lower(strip_accents(trim(text))), 'cion') AS hit FROM documents WHERE text IS NOT NULL""")
+def search_fuzzy_accents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").filter("text is not null").select("doc_id", F.to_json(F.struct(F.col("text").alias("t"))).alias("json"))
     got = docs.select("doc_id", F.from_json(read.json_search(F.col("json"), "CIÓN", fuzzy_match=True), "count int").alias("r"))
     return got.select("doc_id", (F.col("r.count") > 0).alias("hit"))
 
 
-@query("""SELECT doc_id, contains(lower(strip_accents(trim(left(text, 200)))), 'cion') AS hit FROM documents WHERE text IS NOT NULL""")
-def search_fuzzy_accents(spark: SparkSession, sf: str) -> DataFrame:
-    return _accents(_t(spark, sf, "documents"), F.expr("left(text, 200)"))
-
-
-@query()
-def search_fuzzy_accents_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _accents(_t(spark, sf, "documents"), F.col("text"))
-
-
 # Write operators.
 
 
@@ -288,14 +287,6 @@ def guard_shrinkage(spark: SparkSession, sf: str) -> DataFrame:
 # Schemas and formats.
 
 
-def _problem_count(schema: dict, document: Column) -> Column:
-    def count(values: pd.Series) -> pd.Series:
-        compiled = Schema(schema)
-        return values.map(lambda t: len(compiled.problems(json.loads(t)))).astype("int32")
-
-    return F.pandas_udf(count, "int")(document)
-
-
 def _event_docs(spark: SparkSession, sf: str) -> DataFrame:
     body = F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"), F.when(F.col("event_id") % 3 == 0, F.lit("x")).alias("tag"))
     return _t(spark, sf, "events").select("event_id", F.to_json(body).alias("json"))
@@ -305,7 +296,7 @@ def _event_docs(spark: SparkSession, sf: str) -> DataFrame:
 def schema_object(spark: SparkSession, sf: str) -> DataFrame:
     schema = {"type": "object", "required": ["tag"], "properties": {"type": {"type": "string", "enum": ["click", "view"]}, "user": {"type": "integer", "minimum": 0, "maximum": 50}}}
     docs = _event_docs(spark, sf)
-    return docs.select("event_id", _problem_count(schema, F.col("json")).alias("problems"))
+    return docs.select("event_id", problem_count(schema, F.col("json")).alias("problems"))
 
 
 @query("""SELECT event_id, CAST(CASE WHEN (user_id <= 30)::INT + (user_id >= 20)::INT = 1 THEN 0 ELSE 1 END AS INTEGER) AS one_of,
@@ -315,9 +306,9 @@ def schema_composition(spark: SparkSession, sf: str) -> DataFrame:
     docs, doc = _event_docs(spark, sf), F.col("json")
     return docs.select(
         "event_id",
-        _problem_count(at({"oneOf": [{"maximum": 30}, {"minimum": 20}]}), doc).alias("one_of"),
-        _problem_count(at({"anyOf": [{"maximum": 10}, {"minimum": 90}]}), doc).alias("any_of"),
-        _problem_count(at({"allOf": [{"minimum": 5}, {"maximum": 80}]}), doc).alias("all_of"),
+        problem_count(at({"oneOf": [{"maximum": 30}, {"minimum": 20}]}), doc).alias("one_of"),
+        problem_count(at({"anyOf": [{"maximum": 10}, {"minimum": 90}]}), doc).alias("any_of"),
+        problem_count(at({"allOf": [{"minimum": 5}, {"maximum": 80}]}), doc).alias("all_of"),
     )
 
 
@@ -326,10 +317,10 @@ def schema_ref(spark: SparkSession, sf: str) -> DataFrame:
     schema = {"definitions": {"R": {"type": "object", "properties": {"name": {"type": "string", "pattern": "^.{5,}$"}, "in": {"$ref": "#/definitions/R"}}}}, "properties": {"region": {"$ref": "#/definitions/R"}}}
     n = _t(spark, sf, "nation").join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     body = F.to_json(F.struct(F.struct(F.col("r_name").alias("name")).alias("region")))
-    return n.select("n_nationkey", _problem_count(schema, body).alias("problems"))
+    return n.select("n_nationkey", problem_count(schema, body).alias("problems"))
 
 
-_WORDS = "SELECT doc_id, unnest(string_split(left(text, 2000), ' ')) AS w FROM documents"
+_WORDS = "SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents"
 _FORMATS = {
     "email": r"[^\s@]+@[^\s@]+\.[^\s@]+",
     "ipv4": r"((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])",
@@ -341,9 +332,9 @@ _FORMATS = {
 }
 
 
-def _format_query(name: str, text: str) -> Query:
+def _format_query(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        words = _t(spark, sf, "documents").select("doc_id", F.explode(F.split(F.expr(text), " ")).alias("w"))
+        words = _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
         return words.groupBy("doc_id").agg(F.count_if(formats.col_matches(name, F.col("w"))).alias("n"))
 
     return run
@@ -351,8 +342,7 @@ def _format_query(name: str, text: str) -> Query:
 
 for _name, _pattern in _FORMATS.items():
     _key = f"format_{_name.replace('-', '_')}"
-    query(f"SELECT doc_id, count(*) FILTER (regexp_full_match(w, '{_pattern}')) AS n FROM ({_WORDS}) GROUP BY doc_id", _key)(_format_query(_name, "left(text, 2000)"))
-    query(None, f"{_key}_whole")(_format_query(_name, "text"))
+    query(f"SELECT doc_id, count(*) FILTER (regexp_full_match(w, '{_pattern}')) AS n FROM ({_WORDS}) GROUP BY doc_id", _key)(_format_query(_name))
 
 
 @query("""SELECT o_orderkey, try_cast(d AS DATE) IS NOT NULL AND regexp_full_match(d, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS good FROM
@@ -367,19 +357,108 @@ def format_hostname(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "pages").select("page_id", formats.col_matches("hostname", F.split_part("url", F.lit("/"), F.lit(3))).alias("good"))
 
 
-# Rendering and chunking.
 
+#: Per format, values that are of it and values that are not; every nation gets one of the first kind if its key is even.
+_SAMPLES = {
+    "email": (["user@example.com", "a@sub.domain.org"], ["not-email", "@missing.user", "a b@c.de"]),
+    "idn-email": (["üser@exämple.com"], ["üser", "ü@x"]),
+    "date-time": (["2024-01-15T10:30:00Z", "2024-01-15t10:30:00.25+03:00"], ["2024-01-15", "2024-13-01T00:00:00Z", "2024-01-15T10:30:00"]),
+    "duration": (["P1D", "PT5M", "P2W", "P1Y2M3DT4H5M6.5S"], ["P", "PT", "1D", "P1S"]),
+    "uri": (["https://example.com", "ftp://files.org/doc"], ["not a uri", "//host/path"]),
+    "uri-reference": (["/a/b", "#top", "?q=1", "x/y"], ["http://[::1", "x://]a"]),
+    "uri-template": (["/x/{id}", "/x{?a,b*}", "{+path:3}/y", "plain"], ["/x/{id", "/x/}", "{a{b}}", "{}"]),
+    "iri": (["http://exämple.com/ü"], ["exämple", "/ü"]),
+    "iri-reference": (["/ü", "#ü", "http://ü.de"], ["ü/x", "x"]),
+    "hostname": (["example.com", "a-b.c"], ["-a.com", "a..b", "a_b.c"]),
+    "idn-hostname": (["exämple.de", "a.b"], ["-ä.de", "ä-.de", "a..b"]),
+    "ipv6": (["::1", "2001:db8::8a2e:370:7334"], ["::g", "1:2:3", "12345::"]),
+    "regex": (["^a+$", "[a-z]{2}"], ["(", "[", "a{2,1}"]),
+    "unknown": (["anything"], []),
+}
 
-@query("""SELECT doc_id, '"' || left(text, 97) || '..."' AS shown FROM documents WHERE length(text) > 100 AND NOT regexp_matches(text, '["\\\\\\n\\t\\r]')""")
-def truncate_flat_string(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "documents").filter((F.length("text") > 100) & ~F.col("text").rlike(r'["\\\n\t\r]'))
-    text = F.element_at(F.from_json(F.to_json(F.struct("text")), "map<string,string>"), "text")
-    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("text"))), r'(?s)^\{"text":(.*)\}$', 1)
-    return docs.select("doc_id", json_truncate(quoted, 102).alias("shown"))
 
+def _sample_query(name: str) -> Query:
+    good, bad = _SAMPLES[name]
 
-@query()
-def truncate_flat_string_whole(spark: SparkSession, sf: str) -> DataFrame:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        at = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("n_nationkey") % len(values) + 1).cast("int"))
+        value = F.when(F.col("n_nationkey") % 2 == 0, at(good)).otherwise(at(bad or good))
+        return _t(spark, sf, "nation").select("n_nationkey", formats.col_matches(name, value).alias("good"))
+
+    return run
+
+
+for _name, (_, _bad_values) in _SAMPLES.items():
+    query(f"SELECT n_nationkey, {'n_nationkey % 2 = 0' if _bad_values else 'true'} AS good FROM nation", f"format_samples_{_name.replace('-', '_')}")(_sample_query(_name))
+
+
+@query(f"""WITH {_CUSTOMERS}, f AS (SELECT doc_id, count(*) FILTER (s <> 'F') AS n FROM o GROUP BY doc_id) SELECT c.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS items, 1 AS extra, 0 AS fine, CAST(coalesce(n, 0) AS INTEGER) AS more
+FROM c LEFT JOIN f ON c.doc_id = f.doc_id""")
+def schema_items(spark: SparkSession, sf: str) -> DataFrame:
+    order = {"type": "object", "properties": {"status": {"enum": ["F"]}}}
+    docs, doc = _customers(spark, sf), F.col("json")
+    return docs.select(
+        "doc_id",
+        problem_count({"properties": {"orders": {"type": "array", "items": order}}}, doc).alias("items"),
+        problem_count({"properties": {"name": {}, "orders": {}}, "additionalProperties": False}, doc).alias("extra"),
+        problem_count({"properties": {"name": {}}, "additionalProperties": True}, doc).alias("fine"),
+        problem_count({"properties": {"name": {}, "segment": {}}, "additionalProperties": {"items": order}}, doc).alias("more"),
+    )
+
+
+@query("""SELECT n_nationkey, CAST(1 AS INTEGER) AS never, CAST(0 AS INTEGER) AS always, CAST((n_nationkey % 2)::INT AS INTEGER) AS email FROM nation""")
+def schema_boolean_and_format(spark: SparkSession, sf: str) -> DataFrame:
+    mail = F.when(F.col("n_nationkey") % 2 == 0, F.lit("a@b.org")).otherwise(F.lit("none"))
+    docs, doc = _t(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct(mail.alias("mail"))).alias("json")), F.col("json")
+    return docs.select("n_nationkey", problem_count(False, doc).alias("never"), problem_count(True, doc).alias("always"), problem_count({"properties": {"mail": {"format": "email"}}}, doc).alias("email"))
+
+
+#: By region: a batch, and what the refusal says, if there is one. The documents follow this schema before.
+_STRICT = {"type": "object", "additionalProperties": False, "required": ["name", "list"], "properties": {"name": {"type": "string"}, "region": {"type": "integer", "minimum": 0}, "list": {"type": "array", "items": {"type": "integer"}}, "in": {"$ref": "#/definitions/In"}}, "definitions": {"In": {"type": "object", "required": ["a"], "properties": {"a": {"type": "string"}, "in": {"$ref": "#/definitions/In"}}}}}
+_STRICT_CASES = {
+    "unknown_property": ('{"op": "add", "path": "/other", "value": 1}', "not allowed"),
+    "wrong_type": ('{"op": "replace", "path": "/region", "value": "x"}', "incompatible with schema"),
+    "below_minimum": ('{"op": "replace", "path": "/region", "value": -1}', "minimum"),
+    "remove_required": ('{"op": "remove", "path": "/name"}', "required"),
+    "wrong_item": ('{"op": "add", "path": "/list/-", "value": "x"}', "integer"),
+    "bad_index": ('{"op": "add", "path": "/list/9", "value": 1}', "index"),
+    "missing_path": ('{"op": "replace", "path": "/in", "value": {"a": "x"}}', "does not exist"),
+    "wrong_test": ('{"op": "test", "path": "/name", "value": 1}', "incompatible with schema"),
+    "through_reference": ('{"op": "add", "path": "/in", "value": {"a": 1}}', "incompatible with schema"),
+    "whole_document": ('{"op": "replace", "path": "", "value": {"name": "x"}}', "required"),
+    "unsupported": ('{"op": "merge", "path": "/name", "value": 1}', "merge"),
+    "good_value": ('{"op": "add", "path": "/in", "value": {"a": "x", "in": {"a": "y"}}}', ""),
+    "good_item": ('{"op": "add", "path": "/list/-", "value": 3}', ""),
+}
+
+
+def _strict_query(ops: str, marker: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        got = patch.patch_documents(_nations(spark, sf).withColumn("patches", F.lit(f"[{ops}]")), schema=_STRICT)
+        said = F.lower(F.array_join(F.transform("errors", lambda e: e["message"]), " "))
+        same = F.col("final_doc") == F.regexp_replace(F.regexp_replace("json", '":', '": '), ',', ', ')
+        return got.select("n_nationkey", "ok", F.contains(said, F.lit(marker.lower())).alias("said"), same.alias("untouched"))
+
+    return run
+
+
+for _name, (_ops, _marker) in _STRICT_CASES.items():
+    query(f"SELECT n_nationkey, {str(not _marker).lower()} AS ok, true AS said, {str(bool(_marker)).lower()} AS untouched FROM nation", f"strict_{_name}")(_strict_query(_ops, _marker))
+
+
+@query("""SELECT n_nationkey, false AS ok, true AS said FROM nation""")
+def guard_no_patches(spark: SparkSession, sf: str) -> DataFrame:
+    got = patch.patch_documents(_nations(spark, sf).withColumn("patches", F.lit("[]")))
+    return got.select("n_nationkey", "ok", F.element_at("errors", 1)["message"].startswith(patch.NO_PATCHES).alias("said"))
+
+
+# Rendering and chunking.
+
+
+@query("""WITH q AS (SELECT doc_id, text, CAST(to_json(text) AS VARCHAR) AS whole FROM documents)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(whole) <= 102 THEN whole
+  ELSE CAST(to_json(left(text, list_max(list_filter(range(0, 98), lambda k: length(CAST(to_json(left(text, k) || '...') AS VARCHAR)) <= 102))) || '...') AS VARCHAR) END AS shown FROM q""")
+def truncate_flat_string(spark: SparkSession, sf: str) -> DataFrame:
     quoted = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
     return _t(spark, sf, "documents").select("doc_id", json_truncate(quoted, 102).alias("shown"))
 
@@ -389,15 +468,16 @@ def truncate_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _customers(spark, sf).select("doc_id", json_truncate(F.col("json"), 300).alias("shown"))
 
 
-@query("""WITH d AS (SELECT doc_id, text FROM documents) SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 END AS INTEGER) AS chunks, text AS first FROM d WHERE length(text) <= 8000""")
-def chunk_short_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "documents").filter(F.length("text") <= 8000)
-    return chunking.chunk_documents(docs).select("doc_id", F.size("chunks").alias("chunks"), F.try_element_at("chunks", F.lit(1)).alias("first"))
+@query("""SELECT doc_id, coalesce(length(text), 0) <= 8000 AS single, true AS bounded, CASE WHEN text = '' OR length(text) > 8000 THEN NULL ELSE text END AS whole FROM documents""")
+def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
+    chunked = chunking.chunk_documents(_t(spark, sf, "documents")).withColumn("n", F.size("chunks"))
+    bounded = F.forall("chunks", lambda c: (F.length(c) <= 8000) & (F.length(c) > 0))
+    return chunked.select("doc_id", (F.col("n") <= 1).alias("single"), bounded.alias("bounded"), F.when(F.col("n") == 1, F.try_element_at("chunks", F.lit(1))).alias("whole"))
 
 
 @query()
-def chunk_long_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.explode_chunks(chunking.chunk_documents(_t(spark, sf, "documents").filter(F.length("text") > 8000))).select("doc_id", "chunk_idx", "total", F.length("chunk").alias("n_chars"))
+def chunk_all_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.explode_chunks(chunking.chunk_documents(_t(spark, sf, "documents"))).select("doc_id", "chunk_idx", "total", F.length("chunk").alias("n_chars"))
 
 
 @query("""WITH RECURSIVE p AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
@@ -426,14 +506,15 @@ def semantic_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.semantic_chunks(_t(spark, sf, "documents")).select("doc_id", F.size("chunks").alias("chunks"))
 
 
-@query("""SELECT doc_id, '<TextChunk index="1" total="1">' || chr(10) || text || chr(10) || '</TextChunk>' AS message FROM documents WHERE length(text) BETWEEN 1 AND 8000""")
+@query("""SELECT doc_id, length(text) <= 8000 AS single, CASE WHEN length(text) <= 8000 THEN '<TextChunk index="1" total="1">' || chr(10) || text || chr(10) || '</TextChunk>' END AS message FROM documents WHERE length(text) > 0""")
 def user_message(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunking.explode_chunks(chunking.chunk_documents(_t(spark, sf, "documents").filter(F.length("text").between(1, 8000))))
-    return chunks.select("doc_id", chunking.user_message(F.col("chunk"), F.col("chunk_idx"), F.col("total")).alias("message"))
+    chunks = chunking.explode_chunks(chunking.chunk_documents(_t(spark, sf, "documents")))
+    told = chunks.select("doc_id", "total", "chunk_idx", chunking.user_message(F.col("chunk"), F.col("chunk_idx"), F.col("total")).alias("message"))
+    return told.filter("chunk_idx = 0").select("doc_id", (F.col("total") == 1).alias("single"), F.when(F.col("total") == 1, F.col("message")).alias("message"))
 
 
 @query()
-def user_message_whole(spark: SparkSession, sf: str) -> DataFrame:
+def user_message_of_chunks(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunking.explode_chunks(chunking.chunk_documents(_t(spark, sf, "documents")))
     return chunks.select("doc_id", "chunk_idx", chunking.user_message(F.col("chunk"), F.col("chunk_idx"), F.col("total")).alias("message"))
 
@@ -485,21 +566,16 @@ def short_numbers(spark: SparkSession, sf: str) -> DataFrame:
 _MAIL, _ADDRESS = r"[A-Za-z0-9._]+@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 
 
-@query(rf"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '{_MAIL}')) AS m, list_distinct(regexp_extract_all(text, '{_ADDRESS}')) AS a FROM documents WHERE length(text) <= 8000)
-SELECT doc_id, CAST(len(m) AS INTEGER) AS emails, CAST(len(a) AS INTEGER) AS addresses, 1 AS total_chunks, true AS fine FROM d""")
-def extract_short_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return _extracted_counts(extract_documents(_t(spark, sf, "documents").filter(F.length("text") <= 8000)))
+_FOUND = f"SELECT doc_id, text, list_distinct(regexp_extract_all(text, '{_MAIL}')) AS m, list_distinct(regexp_extract_all(text, '{_ADDRESS}')) AS a FROM documents"
 
 
-def _extracted_counts(got: DataFrame) -> DataFrame:
+@query(f"""WITH d AS ({_FOUND}) SELECT doc_id, CAST(coalesce(len(m), 0) AS INTEGER) AS emails, CAST(coalesce(len(a), 0) AS INTEGER) AS addresses,
+CASE WHEN length(text) <= 8000 AND text <> '' THEN 1 END AS one_chunk, coalesce(text, '') <> '' AS fine FROM d""")
+def extract_counts(spark: SparkSession, sf: str) -> DataFrame:
+    got = extract_documents(_t(spark, sf, "documents"))
     j = F.from_json("json", "emails array<string>, addresses array<string>")
     count = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c))
-    return got.select("doc_id", count(j["emails"]).alias("emails"), count(j["addresses"]).alias("addresses"), "total_chunks", F.col("error").isNull().alias("fine"))
-
-
-@query()
-def extract_documents_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _extracted_counts(extract_documents(_t(spark, sf, "documents")))
+    return got.select("doc_id", count(j["emails"]).alias("emails"), count(j["addresses"]).alias("addresses"), F.when(F.col("total_chunks") == 1, 1).alias("one_chunk"), F.col("error").isNull().alias("fine"))
 
 
 @query()
@@ -512,17 +588,71 @@ def chunk_semantic_first(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.explode_chunks(chunking.chunk_documents(_t(spark, sf, "documents"), chunking.hashed_embedding)).select("doc_id", "chunk_idx", "total", F.length("chunk").alias("n_chars"))
 
 
-@query("SELECT doc_id, CAST(len(m) + len(a) AS BIGINT) AS leaves FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '" + _MAIL + "')) AS m, list_distinct(regexp_extract_all(text, '" + _ADDRESS + "')) AS a FROM documents WHERE length(text) <= 8000)")
+@query(f"WITH d AS ({_FOUND}) SELECT doc_id, CAST(coalesce(len(m) + len(a), 0) AS BIGINT) AS leaves FROM d")
 def extracted_leaves(spark: SparkSession, sf: str) -> DataFrame:
-    got = extract_documents(_t(spark, sf, "documents").filter(F.length("text") <= 8000))
-    return nodes.leaf_counts(nodes.ordered_nodes(got))
+    return extract_documents(_t(spark, sf, "documents")).select("doc_id", nodes.col_leaves(F.col("json")).alias("leaves"))
 
 
-@query()
-def extracted_leaves_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes.leaf_counts(nodes.ordered_nodes(extract_documents(_t(spark, sf, "documents"))))
+@query(f"""WITH d AS ({_FOUND}) SELECT doc_id, CASE WHEN length(text) <= 8000 AND text <> '' THEN 1 END AS one_chunk,
+CAST((coalesce(len(m), 0) > 0)::INT + (coalesce(len(a), 0) > 0)::INT AS INTEGER) AS fields FROM d""")
+def result_counts(spark: SparkSession, sf: str) -> DataFrame:
+    got = result_counts_of(extract_documents(_t(spark, sf, "documents")))
+    return got.select("doc_id", F.when(F.col("chunks") == 1, 1).alias("one_chunk"), "fields")
+
+
+def _call(name: str, **args) -> dict:
+    return {"name": name, "args": args}
+
+
+def _scripted(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("text"))
+
+
+def _script(doc_id: int) -> ScriptedPlanner:
+    """A look at the keys, two writes, an unknown tool, and a guidance that names what was done."""
+    write = _call("apply_patches", patches=[{"op": "add", "path": "/list/-", "value": doc_id}, {"op": "add", "path": "/list/-", "value": doc_id}])
+    return ScriptedPlanner([[_call("inspect_keys")], [write, _call("no_such_tool")], [_call("update_guidance", last_path=f"/list/{doc_id}", extracted_entities_count=1)]])
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '{"list": [' || n_nationkey || ']}' AS json, 1 AS total_chunks, '/list/' || n_nationkey AS last_path, CAST(3 AS BIGINT) AS llm_calls, NULL::VARCHAR AS error FROM nation""")
+def extract_scripted(spark: SparkSession, sf: str) -> DataFrame:
+    got = extract_documents(_scripted(spark, sf), _script)
+    return got.select("doc_id", "json", "total_chunks", F.get_json_object("guidance", "$.last_path").alias("last_path"), F.col("token_usage")["llm_calls"].alias("llm_calls"), "error")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '{}' AS json, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 6 ELSE 1 END AS BIGINT) AS llm_calls FROM nation""")
+def extract_retries(spark: SparkSession, sf: str) -> DataFrame:
+    # Who only ever looks is stopped after two rounds and asked twice more; an answer without a call ends the chunk at once.
+    bounds = Settings(max_iterations_per_chunk=2, max_chunk_retries=2)
+    got = extract_documents(_scripted(spark, sf), lambda i: ScriptedPlanner([[_call("inspect_keys")]] * 99 if i % 2 == 0 else []), settings=bounds)
+    return got.select("doc_id", "json", F.col("token_usage")["llm_calls"].alias("llm_calls"))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CASE WHEN n_nationkey % 3 = 0 THEN 'RuntimeError: down' END AS error, CASE WHEN n_nationkey % 3 = 0 THEN '{}' ELSE '{"list": [' || n_nationkey || ']}' END AS json FROM nation""")
+def extract_failures(spark: SparkSession, sf: str) -> DataFrame:
+    got = extract_documents(_scripted(spark, sf), lambda i: ScriptedPlanner([RuntimeError("down")]) if i % 3 == 0 else _script(i))
+    return got.select("doc_id", "error", "json")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, seq, node, iteration, tools FROM nation, (VALUES (0, 'prepare_chunk', 0, ''), (1, 'call_model', 1, 'inspect_keys'), (2, 'execute_tools', 1, ''),
+(3, 'call_model', 2, 'apply_patches,no_such_tool'), (4, 'execute_tools', 2, ''), (5, 'call_model', 3, 'update_guidance'), (6, 'execute_tools', 3, ''), (7, 'finalize_chunk', 3, '')) AS v(seq, node, iteration, tools)""")
+def progress_events(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_events(_scripted(spark, sf), _script).select("doc_id", "seq", "node", "iteration", F.array_join("tools", ",").alias("tools"))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'finalize_chunk' AS node, 0 AS chunk_idx, 1 AS total, 3 AS iteration, 'apply_patches=1,inspect_keys=1,no_such_tool=1,update_guidance=1' AS tools,
+CAST(3 AS BIGINT) AS llm_calls, 'input_tokens,llm_calls,output_tokens,total_tokens' AS counters FROM nation""")
+def progress_fold(spark: SparkSession, sf: str) -> DataFrame:
+    got = progress(extract_events(_scripted(spark, sf), _script))
+    tools = F.array_join(F.array_sort(F.transform(F.map_entries("tools"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    counters = F.array_join(F.array_sort(F.map_keys("usage")), ",")
+    return got.select("doc_id", "node", "chunk_idx", "total", "iteration", tools.alias("tools"), F.col("usage")["llm_calls"].alias("llm_calls"), counters.alias("counters"))
 
 
-@query("""SELECT doc_id, arg_max(text, turn) AS guidance FROM (SELECT conv_id AS doc_id, turn, text FROM conversations) GROUP BY doc_id""")
+@query("""SELECT conv_id AS doc_id, arg_max(text, turn) AS last_path, '' AS open_section, max(turn) AS extracted FROM conversations GROUP BY conv_id""")
 def guidance_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max_by("text", "turn").alias("guidance"))
+    # Every turn is a chunk that leaves a guidance; the next one replaces it as a whole.
+    turns = _t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_idx"), F.to_json(F.struct(F.col("text").alias("last_path"), F.col("turn").alias("extracted_entities_count"))).alias("args"))
+    got = latest_guidance(turns)
+    j = F.from_json("guidance", "last_path string, open_section string, extracted_entities_count long")
+    return got.select("doc_id", j["last_path"].alias("last_path"), j["open_section"].alias("open_section"), j["extracted_entities_count"].alias("extracted"))

@@ -23,7 +23,7 @@ def _guarded(function, *columns) -> pd.Series:
     for row in zip(*columns, strict=True):
         try:
             out.append(None if any(v is None for v in row) else function(*row))
-        except ValueError:
+        except (ValueError, RecursionError):
             out.append(None)
     return pd.Series(out, dtype=object)
 
@@ -32,7 +32,7 @@ def register(spark: SparkSession) -> None:
     """``json_inspect(doc, ptr)``, ``json_read(doc, request)``, ``json_search(doc, request)``, ``json_patch(doc, ops)``,
     ``json_validate(doc, schema)`` and ``json_truncate(doc, limit)``; requests, operations and schemas are JSON text.
 
-    A null argument, or one that is no JSON, gives null.
+    A null argument, or one that is no JSON or nested too deep for the parser, gives null.
     """
 
     def inspect(doc: pd.Series, ptr: pd.Series) -> pd.Series:

@@ -1,5 +1,11 @@
 """The driver's contract, and the native plans that the operators promise."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -7,7 +13,7 @@ import __spark_entry__ as entry
 from docjson import queries as own
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["pointer_codec", "node_table", "search_limit_truncated", "patch_add_replace", "schema_composition", "chunk_merge_small", "trim_messages", "extract_short_documents", "guard_shrinkage", "search_fuzzy"]
+SOME = ["pointer_codec", "node_table", "search_limit_truncated", "patch_add_replace", "schema_composition", "chunk_merge_small", "trim_messages", "extract_counts", "truncate_flat_string", "progress_fold", "strict_remove_required", "guard_shrinkage", "search_fuzzy"]
 
 
 def test_entry(spark):
@@ -36,6 +42,28 @@ def test_scans_are_pruned_and_native(spark, sf):
     def plan(name):
         return own.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
-    for name in ("trim_messages", "chunk_merge_small", "dedup_appends", "pointer_codec", "format_email"):
+    for name in ("trim_messages", "chunk_merge_small", "dedup_appends", "pointer_codec", "format_email", "leaf_count"):
         assert "Python" not in plan(name) and "Arrow" not in plan(name)
     assert "lang" not in plan("extract_flagship")
+
+
+def test_the_rest_stands_alone(tmp_path):
+    """In a copy without the training-data folders and the pipeline, the entry point has its other queries; without the pipeline's file, or with it alone, too."""
+    code = (
+        "import sys, __spark_entry__ as e\n"
+        "q, o = e.queries(), e.oracle_sql()\n"
+        "training = [k for k in q if k.startswith('op') or k == 'pipeline']\n"
+        "assert len(q) > 50 and set(o) <= set(q) and bool(training) == bool(int(sys.argv[1])) and ('pipeline' in q) == bool(int(sys.argv[2])), training\n"
+    )
+    root = Path(__file__).resolve().parent.parent
+    has = (root / "docjson/llm").exists() and (root / "corpus_pipeline.py").exists()
+    for folders, pipeline in ((True, True), (False, False)) if not has else ((True, True), (True, False), (False, True), (False, False)):
+        copy = tmp_path / f"copy-{folders}-{pipeline}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", ".pytest_cache", ".hypothesis"))
+        if not folders:
+            shutil.rmtree(copy / "docjson/llm", ignore_errors=True)
+            shutil.rmtree(copy / "tests/llm", ignore_errors=True)
+        if not pipeline:
+            (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        subprocess.run([sys.executable, "-c", code, str(int(folders and has)), str(int(folders and pipeline and has))], cwd=copy, env=env, check=True, timeout=120)

@@ -9,7 +9,7 @@ import pytest
 from docjson import queries as own
 from docjson.operators import chunking
 from docjson.operators.chunking import recursive_split
-from docjson.plans.extract import RulePlanner, extract
+from docjson.plans.extract import RulePlanner, extract, extract_documents
 
 GOOD = ["a@b.org", "10.0.0.255", "123e4567-e89b-12d3-a456-426614174000", "23:59:60Z", "urn:x", "/a~1b/~0", "0/a", "12#", "7"]
 BAD = ["a@b", "10.0.0.256", "/a~2", "01/a", "0#a", "25:00:00", ":x", "/a~"]
@@ -31,7 +31,7 @@ def test_formats_read_whole_texts(spark, texts, name):
     at, rows = texts
     pattern = re.compile(own._FORMATS[name])
     want = {i: sum(pattern.fullmatch(w) is not None for w in t.split(" ")) for i, t in enumerate(rows) if t is not None}
-    got = {r["doc_id"]: r["n"] for r in own.QUERIES[f"format_{name.replace('-', '_')}_whole"](spark, at).collect()}
+    got = {r["doc_id"]: r["n"] for r in own.QUERIES[f"format_{name.replace('-', '_')}"](spark, at).collect()}
     assert got == want and got[0] > 0
 
 
@@ -39,7 +39,7 @@ def test_search_reads_whole_texts(spark, texts):
     at, rows = texts
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).lower()
     want = {i: "cion" in plain(t) for i, t in enumerate(rows) if t}
-    got = {r["doc_id"]: r["hit"] for r in own.QUERIES["search_fuzzy_accents_whole"](spark, at).collect()}
+    got = {r["doc_id"]: r["hit"] for r in own.QUERIES["search_fuzzy_accents"](spark, at).collect()}
     assert {i: v for i, v in got.items() if rows[i]} == want and got[8] and got[9] and not got[10]
 
 
@@ -60,7 +60,7 @@ def test_flat_strings_of_any_kind(spark, long_texts):
         whole = json.dumps(t, ensure_ascii=False)
         return whole if len(whole) <= 102 else max((x for x in best if len(x) <= 102), key=len)
 
-    got = {r["doc_id"]: r["shown"] for r in own.QUERIES["truncate_flat_string_whole"](spark, at).collect()}
+    got = {r["doc_id"]: r["shown"] for r in own.QUERIES["truncate_flat_string"](spark, at).collect()}
     assert got == {i: None if t is None else cut(t) for i, t in enumerate(rows)}
 
 
@@ -68,13 +68,17 @@ def test_messages_and_extraction_of_all_documents(spark, long_texts):
     at, rows = long_texts
     chunks = {i: recursive_split(t or "") for i, t in enumerate(rows)}
     assert len(chunks[0]) > 1 and all(len(c) <= 8000 for cs in chunks.values() for c in cs)
-    got = {(r["doc_id"], r["chunk_idx"]): r["message"] for r in own.QUERIES["user_message_whole"](spark, at).collect()}
+    got = {(r["doc_id"], r["chunk_idx"]): r["message"] for r in own.QUERIES["user_message_of_chunks"](spark, at).collect()}
     assert got == {(i, k): f'<TextChunk index="{k + 1}" total="{len(cs)}">\n{c}\n</TextChunk>' for i, cs in chunks.items() for k, c in enumerate(cs)}
     found = {i: [len({x for c in cs for x in re.findall(p, c)}) for p in (own._MAIL, own._ADDRESS)] for i, cs in chunks.items()}
-    got = {r["doc_id"]: r for r in own.QUERIES["extract_documents_whole"](spark, at).collect()}
+    got = {r["doc_id"]: r for r in own.QUERIES["extract_counts"](spark, at).collect()}
     assert {i: [r["emails"], r["addresses"]] for i, r in got.items()} == found and found[0][0] >= 900 and found[7] == [2, 2]
-    assert {i: (r["total_chunks"], r["fine"]) for i, r in got.items()} == {i: (len(cs) if rows[i] and rows[i].strip() else 0, bool(rows[i])) for i, cs in chunks.items()}
-    leaves = {r["doc_id"]: r["leaves"] for r in own.QUERIES["extracted_leaves_whole"](spark, at).collect()}
+    assert {i: (r["one_chunk"], r["fine"]) for i, r in got.items()} == {i: (1 if len(cs) == 1 and t.strip() else None, bool(t)) for (i, cs), t in zip(chunks.items(), rows, strict=True)}
+    total = {r["doc_id"]: r["total_chunks"] for r in extract_documents(spark.read.parquet(f"{at}/documents.parquet")).collect()}
+    assert total == {i: len(cs) if rows[i] and rows[i].strip() else 0 for i, cs in chunks.items()}
+    pieces = {(r["doc_id"], r["chunk_idx"]): r["n_chars"] for r in own.QUERIES["chunk_all_texts"](spark, at).collect()}
+    assert pieces == {(i, k): len(c) for i, cs in chunks.items() for k, c in enumerate(cs)}
+    leaves = {r["doc_id"]: r["leaves"] for r in own.QUERIES["extracted_leaves"](spark, at).collect()}
     assert leaves == {i: sum(n) for i, n in found.items()}
 
 
