@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
@@ -20,14 +20,16 @@ _PREFIXES = range(3, 9)
 #: Words whose score a worker remembers.
 _CACHE = 400_000
 _EULER = 0.5772156649015329
+#: The surprise of a text without any segment.
+_NONE = -10.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """Token scores, the gap score of all other words, and the calibration."""
+    """Tokens' log odds and evidence (|z|), what every token costs, and the calibration."""
 
-    scores: dict[str, float]
-    gap: float
+    scores: dict[str, tuple[float, float]]
+    cost: float
     lam: float
     log_k: float
     weights: tuple[float, ...]
@@ -42,31 +44,28 @@ def features(word: str) -> list[str]:
     return [word, *[f"{word[:n]}*" for n in _PREFIXES if n < len(word)]]
 
 
-def maximal_segments(at: list[int], gains: list[float], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of a sequence that scores ``gains`` at the places ``at`` and ``gap`` (< 0) elsewhere.
+def maximal_segments(at: list[int], before: list[float], after: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a sequence, from the places with a positive score and the sums before and after each.
 
     The linear-time scan keeps a list of disjoint candidates with the cumulative score before and after each. A new
-    candidate is joined with the nearest earlier one that starts lower and ends no higher than it. Only the places with
-    a positive score can open a candidate, so the scan runs over those. Returns first place, last place and score.
+    candidate is joined with the nearest earlier one that starts lower and ends lower than it. Each candidate knows the nearest
+    earlier one that starts lower than itself, so that a search skips all between; whoever is skipped by a lower start is
+    never looked at again. Returns first place, last place and score, by place.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
-    total, last = 0.0, -1
-    for place, gain in zip(at, gains, strict=True):
-        total += gap * (place - last - 1)
-        first, low = place, total
-        total += gain
-        last = place
-        high, end = total, place
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, nearest that starts lower
+    for place, low, high in zip(at, before, after, strict=True):
+        first, j = place, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= high:
-                found.append((first, end, low, high))
                 break
             first, low = found[j][0], found[j][2]
+            below = found[j][4]
             del found[j:]
-    return [(a, b, h - lo) for a, b, lo, h in found]
+            j = below
+        found.append((first, place, low, high, j))
+    return [(a, b, h - lo) for a, b, lo, h, _ in found]
 
 
 class _Scorer:
@@ -74,37 +73,40 @@ class _Scorer:
         self.m, self.cache = model, {}
 
     def word(self, w: str) -> float:
+        """The log odds of the word or of the beginning that has the most evidence, less what every token costs."""
         s = self.cache.get(w)
         if s is None:
             known = self.m.scores
-            s = max((known[f] for f in features(w) if f in known), default=0.0)
+            s = max(((z, v) for f in features(w) if (e := known.get(f)) is not None for v, z in (e,)), default=(0.0, 0.0))[1] - self.m.cost
             if len(self.cache) >= _CACHE:
                 self.cache.clear()
             self.cache[w] = s
         return s
 
-    def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int, list[re.Match]]:
+    def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
         words = _WORD.findall(text.lower())
         cached, word = self.cache.get, self.word
-        values = [s if (s := cached(w)) is not None else word(w) for w in words]
-        at = [i for i, s in enumerate(values) if s > 0]
-        return maximal_segments(at, [values[i] for i in at], self.m.gap), len(words), words
+        values = np.array([s if (s := cached(w)) is not None else word(w) for w in words])
+        at = np.flatnonzero(values > 0)
+        after = np.cumsum(values)
+        return maximal_segments(at.tolist(), (after[at] - values[at]).tolist(), after[at].tolist()), len(words)
 
-    def surprise(self, score: float, n: int) -> float:
-        """The Gumbel variable of a segment's score in a text of ``n`` words; over 3 is rarer than one in twenty."""
-        return self.m.lam * score - self.m.log_k - math.log(max(n, 1))
+    def surprises(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
+        """The segments with the Gumbel variable of each in a text of its length, and the number of words; over 3 is rarer than one in twenty."""
+        segments, n = self.segments(text)
+        less = self.m.log_k + math.log(max(n, 1))
+        return [(a, b, self.m.lam * s - less) for a, b, s in segments], n
 
     def summary(self, text: str) -> tuple[float, float, int, int, list[tuple[int, int, float]]]:
         """Largest surprise, sum of the significant ones, their number, words, and the significant segments."""
-        segments, n, _ = self.segments(text)
-        rated = [(a, b, self.surprise(s, n)) for a, b, s in segments]
+        rated, n = self.surprises(text)
         sure = [r for r in rated if r[2] >= self.m.significant]
-        return max((r[2] for r in rated), default=-10.0), sum(r[2] for r in sure), len(sure), n, sure
+        return max((r[2] for r in rated), default=_NONE), sum(r[2] for r in sure), len(sure), n, sure
 
 
 def _inputs(best: np.ndarray, total: np.ndarray, n: np.ndarray) -> np.ndarray:
     n = np.maximum(n, 1)
-    return np.column_stack([np.ones(len(n)), np.clip(best, -10, 30) / 10, np.log1p(total), total / np.sqrt(n), np.log(n) / 10, (best > -10).astype(float)])
+    return np.column_stack([np.ones(len(n)), np.clip(best, _NONE, 30) / 10, np.log1p(total), total / np.sqrt(n), np.log(n) / 10, (best > _NONE).astype(float)])
 
 
 def probability(weights: tuple[float, ...], best: np.ndarray, total: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -112,37 +114,43 @@ def probability(weights: tuple[float, ...], best: np.ndarray, total: np.ndarray,
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and other texts each feature occurs; partial counts."""
+    """Tokens of each feature in toxic and in other texts, a word once a text: what one text repeats is no evidence. Partial counts."""
     counts: dict[str, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["feature", "toxic", "clean"])
+        out: dict[str, list[int]] = {}
+        for w, (clean, toxic) in counts.items():
+            for f in features(w):
+                c = out.setdefault(f, [0, 0])
+                c[0] += clean
+                c[1] += toxic
         counts.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([c[1] for c in out.values()], pa.int64()), pa.array([c[0] for c in out.values()], pa.int64())], names=["feature", "toxic", "clean"])
 
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for f in {f for w in set(_WORD.findall((text or "").lower())) for f in features(w)}:
-                counts.setdefault(f, [0, 0])[toxic] += 1
-            if len(counts) > 250_000:
+            for w in set(_WORD.findall((text or "").lower())):
+                counts.setdefault(w, [0, 0])[toxic] += 1
+            if len(counts) > 100_000:
                 yield flush()
     yield flush()
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, most_features: int = 20_000, prior: float = 200.0, least_z: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, prior: float = 0.02, doubt: float = 0.5, least_z: float = 3.0, cost: float = 0.05) -> Model:
     """Learn token scores and their calibration from labelled documents.
 
     A token's score is the log odds ratio between toxic and other texts under a Dirichlet prior in proportion to the token's
-    overall frequency; tokens with a z of ``least_z`` or more enter. From the other texts come the rate (lambda) and the
-    scale (K) of the extreme-value law that their best segments follow, and a logistic regression maps the surprise of a
+    overall frequency, whichever its sign. Which tokens have one is decided under a heavier prior of the same kind: those
+    whose |z| is ``least_z`` or more; all others count as even. Each token costs ``cost``, and more if clean text would not lose
+    on average otherwise. The rate (lambda) of the extreme-value law that the best segments of clean text follow comes from the
+    scores of clean tokens, prior included, its scale (K) from the segments; a logistic regression maps the surprise of a
     document's segments to a probability.
 
     Args:
         docs, labels: ``doc_id, text`` and ``doc_id, toxic``; rows without a label, id or partner are not used.
         most_labelled: at most so many labelled documents are used, those of the smallest hash of their id. This bounds
             the fit at every input size.
-        most_features: at most so many tokens, of the largest z, enter the model.
-        prior: weight of the Dirichlet prior in tokens of evidence per thousand features.
+        prior, doubt: weights of the two Dirichlet priors, as shares of the tokens counted.
     """
     picked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
@@ -150,75 +158,80 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, most_fe
     sample = materialise(sample.select("text", F.least(F.col("toxic"), F.lit(1)).alias("toxic")), "labelled")
     counts = sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
     counts = materialise(counts, "features")
-    n1, n0 = (float(x or 0) for x in counts.agg(F.sum("y1"), F.sum("y0")).first())
+    words = counts.filter(~F.col("feature").endswith("*"))
+    n1, n0 = (float(x or 0) for x in words.agg(F.sum("y1"), F.sum("y0")).first())
     if not n1 or not n0:
-        return Model({}, -0.1, 1.0, 0.0, (-3.0, 0.0, 0.0, 0.0, 0.0, 0.0), 3.0)
-    share = (F.col("y1") + F.col("y0")) / F.lit(n1 + n0)
-    a0 = prior * 1000.0
-    a = share * a0
-    odds1 = F.log((F.col("y1") + a) / (n1 + a0 - F.col("y1") - a))
-    odds0 = F.log((F.col("y0") + a) / (n0 + a0 - F.col("y0") - a))
-    z = (odds1 - odds0) / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    raw = F.log((F.col("y1") + F.lit(0.5)) / F.lit(n1)) - F.log((F.col("y0") + F.lit(0.5)) / F.lit(n0))
-    top = counts.select("feature", raw.alias("score"), z.alias("z")).filter((F.col("z") >= least_z) & (F.col("score") > 0)).orderBy(F.col("z").desc(), "feature").limit(most_features)
-    scores = {r["feature"]: r["score"] for r in top.collect()}
-    start = Model(scores, -0.1, 1.0, 0.0, (0.0,) * 6, 3.0)
-    spread = _spread(sample, start)
-    gain, words = sum(v * c for v, c in spread.items()), sum(spread.values())
-    gap = -max(0.02, 2 * gain / max(words, 1))
-    lam = _rate(spread, gap)
-    middle = Model(scores, gap, lam, 0.0, (0.0,) * 6, 3.0)
-    seen = _summaries(sample, middle)
-    clean = seen[(seen[:, 0] == 0) & (seen[:, 1] > -10)]
-    log_k = float(clean[:, 1].mean() - _EULER) if len(clean) else 0.0
-    final = Model(scores, gap, lam, log_k, (0.0,) * 6, 3.0)
-    seen = _summaries(sample, final)
-    return Model(scores, gap, lam, log_k, _logistic(_inputs(seen[:, 1], seen[:, 2], seen[:, 3]), seen[:, 0]), 3.0)
-
-
-def _spread(sample: DataFrame, model: Model) -> dict[float, int]:
-    """How often words of the other texts have each score; as many entries as the model has scores, at most."""
+        return Model({}, 0.1, 1.0, 0.0, (-3.0, 0.0, 0.0, 0.0, 0.0, 0.0), 3.0)
+
+    def odds(weight: float) -> tuple[Column, Column, Column]:
+        """Log odds ratio under a prior of so many tokens per token counted, its z, and the prior's share of each token."""
+        a0, a = weight * (n1 + n0), (F.col("y1") + F.col("y0")) * weight
+        ratio = F.log((F.col("y1") + a) / (n1 + a0 - F.col("y1") - a)) - F.log((F.col("y0") + a) / (n0 + a0 - F.col("y0") - a))
+        return ratio, ratio / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)), a
+
+    _, z, _ = odds(doubt)
+    ratio, _, a = odds(prior)
+    told = counts.select("feature", ratio.alias("score"), F.abs(z).alias("z")).filter(F.col("z") >= least_z)
+    scores = {r["feature"]: (r["score"], r["z"]) for r in told.collect()}
+    start = Model(scores, 0.0, 1.0, 0.0, (0.0,) * 6, 3.0)
+    spread = _spread(words.select("feature", (F.col("y0") + a).alias("n")), start)
+    mean = sum(v * c for v, c in spread.items()) / max(sum(spread.values()), 1)
+    cost = max(cost, mean + 0.05)
+    lam = _rate({v - cost: n for v, n in spread.items()})
+    seen = _surprises(sample, Model(scores, cost, lam, 0.0, (0.0,) * 6, 3.0))
+    log_k = seen.filter(f"y = 0 and best > {_NONE}").agg(F.avg("best")).first()[0]
+    log_k = 0.0 if log_k is None else log_k - _EULER
+    final = Model(scores, cost, lam, log_k, (0.0,) * 6, 3.0)
+    best = F.when(F.col("best") > _NONE, F.col("best") - log_k).otherwise(F.lit(_NONE))
+    sure = F.filter(F.transform("rated", lambda v: v - log_k), lambda v: v >= final.significant)
+    rows = seen.select("y", best.alias("best"), F.aggregate(sure, F.lit(0.0), lambda s, v: s + v).alias("total"), "n").collect()
+    x = np.array([tuple(r) for r in rows], float).reshape(-1, 4)
+    return Model(scores, cost, lam, log_k, _logistic(_inputs(x[:, 1], x[:, 2], x[:, 3]), x[:, 0]), 3.0)
+
+
+def _spread(words: DataFrame, model: Model) -> dict[float, float]:
+    """How much of the other texts, prior included, has each score, to a hundredth."""
     dumped = model.dump()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, seen = _load(dumped), {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in _WORD.findall((text or "").lower()):
-                    s = round(scorer.word(w), 1)
-                    seen[s] = seen.get(s, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = round(scorer.word(w), 2)
+                seen[s] = seen.get(s, 0.0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.float64())], names=["s", "n"])
 
-    rows = sample.filter("toxic = 0").select("text").mapInArrow(run, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    rows = words.mapInArrow(run, "s double, n double").groupBy("s").agg(F.sum("n").alias("n"))
     return {r["s"]: r["n"] for r in rows.collect()}
 
 
-def _rate(spread: dict[float, int], gap: float) -> float:
+def _rate(spread: dict[float, float]) -> float:
     """The positive root of sum p(s) exp(lambda s) = 1, by bisection."""
     total = sum(spread.values())
-    s = np.array([x if x > 0 else gap for x in spread])
+    s = np.array(list(spread))
     p = np.array(list(spread.values())) / max(total, 1)
-    if not (s > 0).any():
+    if not (p[s > 0] > 0).any():
         return 1.0
     low, high = 1e-6, 20.0
     for _ in range(80):
         lam = (low + high) / 2
-        low, high = (lam, high) if float((p * np.exp(lam * s)).sum()) < 1 else (low, lam)
+        low, high = (lam, high) if float((p * np.exp(np.minimum(lam * s, 600.0))).sum()) < 1 else (low, lam)
     return low
 
 
-def _summaries(sample: DataFrame, model: Model) -> np.ndarray:
-    """Label, surprise, total and words of each labelled text: as many rows as ``most_labelled``, at most."""
+def _surprises(sample: DataFrame, model: Model) -> DataFrame:
+    """``y, best, n, rated``: label, largest surprise, words, and all surprises of each labelled text."""
     dumped = model.dump()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _load(dumped)
         for batch in batches:
-            rows = [scorer.summary(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.float64()), *[pa.array([float(r[i]) for r in rows], pa.float64()) for i in (0, 1, 3)]], names=["y", "best", "total", "n"])
+            rows = [scorer.surprises(t or "") for t in batch.column(0).to_pylist()]
+            rated = [[v for _, _, v in r] for r, _ in rows]
+            columns = [[max(r, default=_NONE) for r in rated], [float(n) for _, n in rows]]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.float64()), *[pa.array(c, pa.float64()) for c in columns], pa.array(rated, pa.list_(pa.float64()))], names=["y", "best", "n", "rated"])
 
-    rows = sample.mapInArrow(run, "y double, best double, total double, n double").collect()
-    return np.array([tuple(r) for r in rows], float).reshape(-1, 4)
+    return materialise(sample.mapInArrow(run, "y double, best double, n double, rated array<double>"), "surprises")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
@@ -234,7 +247,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 def _load(dumped: str) -> _Scorer:
     raw = json.loads(dumped)
-    return _Scorer(Model(**raw | {"weights": tuple(raw["weights"])}))
+    return _Scorer(Model(**raw | {"weights": tuple(raw["weights"]), "scores": {w: tuple(e) for w, e in raw["scores"].items()}}))
 
 
 _OUT = "score double, n_passages int, best double, passages array<struct<first:int,last:int,surprise:double>>"
