@@ -24,7 +24,7 @@ from .text_hash import mix64, word_hashes
 #: Words in a chunk; a longer text is a chunk of its own.
 CHUNK = 1_200_000
 #: Context-frequency buckets: powers of two.
-BUCKETS = 32
+BUCKETS = 64
 #: Steps per factor of two in which probabilities are tabulated for the estimation of weights.
 STEPS = 4
 _NEVER = -9999
@@ -43,13 +43,14 @@ _TOLD_ARROW = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("part",
 
 
 def _squeeze(x: np.ndarray) -> bytes:
-    """Small numbers, byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    """Numbers below 2**63, byte plane by byte plane: a byte for the number of planes, and only as many as the largest needs."""
+    wide = 4 if not len(x) or int(x.max()) < 2**32 else 8
+    return bytes([wide]) + zstandard.compress(np.ascontiguousarray(x.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T).tobytes(), 3)
 
 
 def _expand(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    planes = np.frombuffer(zstandard.decompress(memoryview(b)[1:]), np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").ravel()
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -164,11 +165,14 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.cumsum([0, *map(len, keys)])
         found, which = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
-        main = np.bincount(which, np.concatenate([_expand(r[2]) for r in rows]), len(found)).astype(np.int64)
-        deleted = np.bincount(which, np.concatenate([_expand(r[3]) for r in rows]), len(found)).astype(np.int64)
+        main, deleted = (np.zeros(len(found), np.int64) for _ in range(2))
+        for j, r in enumerate(rows):  # a question names an n-gram once
+            mine = which[cuts[j] : cuts[j + 1]]
+            main[mine] += _expand(r[2]).astype(np.int64)
+            deleted[mine] += _expand(r[3]).astype(np.int64)
         for j, r in enumerate(rows):
             mine = which[cuts[j] : cuts[j + 1]]
-            yield _table(_TOLD_ARROW, [(r[0], level, part, _squeeze(np.minimum(main[mine], 2**32 - 1)), _squeeze(np.minimum(deleted[mine], 2**32 - 1)), None, None, None)])
+            yield _table(_TOLD_ARROW, [(r[0], level, part, _squeeze(main[mine]), _squeeze(deleted[mine]), None, None, None)])
         if level == 0:
             both = main + deleted
             yield _table(_TOLD_ARROW, [(-1, level, part, None, None, int(main.sum()), int(both.sum()), int((both > 0).sum()))])
