@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Stored rate; the features' rate is ``RATE * UP / DOWN``.
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 12_000, 2, 3
 #: Frame, step and transform in samples at the features' rate; bands of the filterbank; frames in a tensor.
 FRAME, STEP, FFT, BANDS, TENSOR = 200, 80, 256, 20, 64
 #: A segment opens this many decibels over the quiet level of its text and closes at the lower one.
@@ -55,7 +55,7 @@ def _phases(up: int, down: int, zeros: int = 8) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Polyphase rate conversion: only the taps that meet samples are multiplied, and only for outputs that are kept."""
+    """Polyphase rate conversion by ``up/down`` in lowest terms: only the taps that meet samples are multiplied, and only for outputs that are kept."""
     phases = _phases(up, down)
     taps = phases.shape[1]
     delay = (taps * up - 1) // 2
@@ -70,9 +70,8 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
             mine = phase == p
             if mine.any():
                 first = base[mine] - taps + 1 + taps
-                got = windows[first[0] : first[-1] + 1 : down if up == 1 else 1]
-                got = got if up == 1 else windows[first]
-                out[at : at + len(m)][mine] = got @ phases[p][::-1]
+                # Outputs of one phase lie ``up`` apart, so their windows lie ``down`` apart.
+                out[at : at + len(m)][mine] = windows[first[0] : first[-1] + 1 : down] @ phases[p][::-1]
     return out
 
 
