@@ -20,14 +20,16 @@ from .store import materialise
 
 _ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _KEYWORDS = ("passw", "secret", "token", "api")
-_ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
+_ACCESS = re.compile(r"AKIA[A-Z0-9]{8,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: What the network looks at: runs of key letters with a digit in them.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
+#: What the network looks at: runs of key letters that are longer than words are, or do not look like words.
+_RUN = re.compile(r"[A-Za-z0-9+/_=.@-]{8,}")
+_LONG = 16
+_UNLIKE_A_WORD = re.compile(r"[0-9+/_=]|(?<=[a-z])[A-Z]|[A-Z]{4}(?=.*[a-z])")
 KINDS = ("assign", "access", "hex", "model")
-#: Characters before, of, and after a candidate; a longer candidate is seen by its beginning and its length's window.
+#: Characters before, of, and after a candidate in a window; a longer candidate has overlapping windows from end to end.
 BEFORE, INSIDE, AFTER = 24, 48, 8
+STEP = INSIDE // 2
 _WIDTH = BEFORE + INSIDE + AFTER
 _ALPHABET = "\0 " + string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_.=-@:\"'#\n"
 _CODE = {c: i for i, c in enumerate(_ALPHABET)}
@@ -48,13 +50,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _is_candidate(run: str) -> bool:
+    return len(run) >= _LONG or bool(_UNLIKE_A_WORD.search(run))
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of sixteen or more key letters, a digit among them."""
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
+    """Runs of eight or more key letters: all of sixteen or more, and those with a digit, a sign or capitals within."""
+    return [m.span() for m in _RUN.finditer(text) if _is_candidate(m[0])]
+
+
+def uncovered(text: str, start: int, end: int, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no span covers and that are candidates by themselves."""
+    out, at = [], start
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < end and b > at:
+            out.append((at, a))
+            at = max(at, b)
+    return [(a, b) for a, b in [*out, (at, end)] if b - a >= 8 and _is_candidate(text[a:b])]
+
+
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """The windows' parts of a candidate: itself, or pieces of ``INSIDE`` characters that overlap by half."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(a, a + INSIDE) for a in range(start, end - INSIDE, STEP)] + [(end - INSIDE, end)]
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of a candidate and its surroundings, at fixed places."""
+    """Codes of a candidate, or a piece of one, and its surroundings, at fixed places."""
     get = _CODE.get
     left = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
     inner = text[start : min(end, start + INSIDE)].ljust(INSIDE, "\0")
@@ -107,7 +130,7 @@ class Network:
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         z, (e, u, h, v, g, top, pooled) = self.forward(x)
-        d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)[:, None]
+        d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(self.out.dtype)[:, None]
         d_out, d_bias = pooled.T @ d, d.sum(0)
         d_pool = d @ self.out.T
         n = g.shape[2]
@@ -137,7 +160,7 @@ def _unfold(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _fold(d: np.ndarray, width: int, shape: tuple) -> np.ndarray:
-    out = np.zeros(shape, np.float32)
+    out = np.zeros(shape, d.dtype)
     step, n = shape[2], d.shape[1]
     for i in range(width):
         out[:, i : i + n] += d[:, :, i * step : (i + 1) * step]
@@ -145,10 +168,13 @@ def _fold(d: np.ndarray, width: int, shape: tuple) -> np.ndarray:
 
 
 def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, epochs: int = 6, seed: int = 5) -> Network:
-    """Adam on the cross-entropy, then calibration and threshold on a fifth of the examples that the training never sees."""
+    """Adam on the cross-entropy, then calibration and threshold, each on a sixth of the examples that nothing else sees.
+
+    The threshold is the largest at which the required share of the secrets among them is found, however low that is.
+    """
     r = np.random.default_rng(seed)
     order = r.permutation(len(x))
-    aside, used = order[: len(x) // 5], order[len(x) // 5 :]
+    aside, judged, used = np.split(order, [len(x) // 6, 2 * (len(x) // 6)])
     net = Network.new(seed)
     first, second, t = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
     for _ in range(epochs):
@@ -160,15 +186,15 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, epochs: int = 6, s
                 v += 0.001 * (g * g - v)
                 p -= 4e-3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         r.shuffle(used)
-    z = np.concatenate([net.forward(x[aside[i : i + 512]])[0] for i in range(0, len(aside), 512)]).astype(float)
+    z = np.concatenate([np.zeros(0), *[net.forward(x[aside[i : i + 512]])[0] for i in range(0, len(aside), 512)]]).astype(float)
     a, b = 1.0, 0.0
-    for _ in range(200):  # Platt's sigmoid, a little held back
+    for _ in range(200 if len(z) else 0):  # Platt's sigmoid, a little held back
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         d = p - y[aside]
         a, b = a - 0.05 * ((d * z).mean() + 0.01 * (a - 1)), b - 0.05 * (d.mean() + 0.01 * b)
     net.scale, net.shift = float(a), float(b)
-    good = np.sort(net.probability(x[aside])[y[aside] > 0.5])
-    net.threshold = float(max(0.5, good[int((1 - recall) * len(good))] - 1e-6)) if len(good) else 0.5
+    good = np.sort(net.probability(x[judged])[y[judged] > 0.5])
+    net.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 0.5
     return net
 
 
@@ -203,7 +229,7 @@ def invented_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]
 
 
 def labelled_windows(docs: DataFrame, most_each: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of candidates in the corpus: a finding of the rules is a secret, any other candidate is not.
+    """Windows and labels of candidates in the corpus: what a finding of the rules touches is a secret, all else is not.
 
     At most ``most_each`` of either label are used, those of the smallest hash of their text, which bounds the fit.
     """
@@ -217,7 +243,7 @@ def labelled_windows(docs: DataFrame, most_each: int = 600) -> tuple[np.ndarray,
                 if not spots:
                     continue
                 sure = base_spans(text)
-                for a, b in spots:
+                for a, b in (p for spot in spots for p in pieces(*spot)):
                     label = int(any(s < b and a < e for _, s, e in sure))
                     w = window(text, a, b)
                     best[label][int.from_bytes(hashlib.blake2b(w.tobytes(), digest_size=7).digest())] = w.tolist()
@@ -253,36 +279,60 @@ def fit(docs: DataFrame, most_each: int = 600, invented: int = 1200, recall: flo
 
 
 def scan(docs: DataFrame, network: Network) -> DataFrame:
-    """``doc_id, spans``: all findings of every row, as ``kind, start, end`` in code points, end exclusive.
+    """``doc_id, spans``: all findings of every row, as ``kind, start, end, score``, in code points, end exclusive.
 
-    Findings of the rules (``assign``, ``access``, ``hex``) always stay. Candidates that none of them touches and to which
-    the network gives its threshold or more are ``model``.
+    The network scores every candidate and every finding of the rules, piece by piece. Findings of the rules (``assign``,
+    ``access``, ``hex``) always stay, whatever their score. Of the parts of candidates that no rule covers, the pieces
+    that reach the threshold are ``model``, and those that touch are one finding; a finding's score is its best piece's.
 
     Defined cases: null and empty texts have no findings. A null ``doc_id`` stays null. Repeated rows get equal findings. Of
-    findings with one start, the kinds come in the order above. An empty table gives an empty result.
+    findings with one start, the kinds come in the order above. A run of any length is scored from end to end. An empty
+    table gives an empty result.
     """
     dumped = network.dump()
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.load(dumped)
         for batch in batches:
-            rows, asked, windows = [], [], []
+            asked: list[tuple[int, str, int, int, list[tuple[int, int]]]] = []
+            windows: list[np.ndarray] = []
+            scores: list[np.ndarray] = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
-                rows.append(base_spans(text))
-                for a, b in candidates(text):
-                    if not any(s < b and a < e for _, s, e in rows[-1]):
-                        asked.append((i, a, b))
-                        windows.append(window(text, a, b))
+                sure = base_spans(text)
+                found = sure + [("model", *part) for c in candidates(text) for part in uncovered(text, *c, sure)]
+                for k, a, b in found:
+                    asked.append((i, k, a, b, pieces(a, b)))
+                    windows += [window(text, *p) for p in asked[-1][4]]
+                if len(windows) >= 4096:  # of a long text, no more is held
+                    scores.append(net.probability(np.stack(windows)))
+                    windows = []
             if windows:
-                for (i, a, b), p in zip(asked, net.probability(np.stack(windows)), strict=True):
-                    if p >= net.threshold:
-                        rows[i].append(("model", a, b))
-            out = [[{"kind": k, "start": a, "end": b} for k, a, b in sorted(r, key=lambda s: (s[1], KINDS.index(s[0])))] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+                scores.append(net.probability(np.stack(windows)))
+            p, at = np.concatenate([np.zeros(0), *scores]), 0
+            rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for i, k, a, b, parts in asked:
+                mine = p[at : at + len(parts)]
+                at += len(parts)
+                rows[i] += [{"kind": k, "start": a, "end": b, "score": float(mine.max())}] if k != "model" else _touching(parts, mine, net.threshold)
+            for r in rows:
+                r.sort(key=lambda s: (s["start"], KINDS.index(s["kind"])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
+
+
+def _touching(parts: list[tuple[int, int]], scores: np.ndarray, threshold: float) -> list[dict]:
+    out: list[dict] = []
+    for (a, b), p in zip(parts, scores, strict=True):
+        if p < threshold:
+            continue
+        if out and a <= out[-1]["end"]:
+            out[-1] |= {"end": b, "score": max(out[-1]["score"], float(p))}
+        else:
+            out.append({"kind": "model", "start": a, "end": b, "score": float(p)})
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:
