@@ -87,30 +87,33 @@ FROM r
 """
 
 _OP4_SQL = r"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':17'), 1, 13) AS UBIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-    CAST(sum(CAST(floor(sqrt(CAST(size AS DOUBLE)) * 1024) AS DECIMAL(18,0)) * size) AS DOUBLE) AS steep FROM d GROUP BY source),
+WITH RECURSIVE b AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS no FROM b),
+d AS (SELECT *, CAST(floor(sqrt(CAST(size AS DOUBLE)) * 1024) AS BIGINT) AS root,
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17:' || CAST(no AS VARCHAR)), 1, 13) AS UBIGINT) + 0.5) / 4503599627370496.0 AS u FROM o),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
     CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM s),
 l AS (SELECT *, cap / w AS ratio, CAST(sum(source_size) OVER () AS DOUBLE) AS everything FROM w),
 m AS (SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM l),
-t AS (SELECT source, source_size, steep,
-    least(cap, coalesce((SELECT max(lv) FROM m WHERE lv <= ratio), 0) * w) AS target FROM m),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(lv) FROM m WHERE lv <= ratio), 0) * w) AS target FROM m),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 q AS (SELECT *, greatest(0.0, target - whole * source_size) AS rest FROM p),
-e AS (SELECT d.doc_id, d.size, q.source, q.source_size, q.target, q.whole, q.rest, u / (1 - u) AS odds,
-    least(1.0, CASE WHEN steep > 0 THEN rest * 1024.0 / steep ELSE 0 END * sqrt(CAST(size AS DOUBLE))) AS chance
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+h AS (SELECT source, size, root, count(*) * size AS words, CAST(root AS DECIMAL(18,0)) * CAST(count(*) * size AS DECIMAL(18,0)) AS steep FROM d WHERE size > 0 GROUP BY source, size, root),
+i AS (SELECT h.*, coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over_it,
+    CAST(sum(steep) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS under_it FROM h),
+j AS (SELECT i.source, i.size, i.root, greatest(0.0, q.rest - CAST(i.over_it AS DOUBLE)) * 1024.0 / under_it AS level FROM i JOIN q ON i.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT source, max_by(level, size) AS slope FROM j WHERE level * root <= 1024.0 GROUP BY source),
+e AS (SELECT d.doc_id, d.no, d.size, q.source, q.source_size, q.target, q.whole, q.rest, u / (1 - u) AS odds,
+    least(1.0, coalesce(k.slope, 0.0) * sqrt(CAST(size AS DOUBLE))) AS chance
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source),
 f AS (SELECT *, CASE WHEN size > 0 AND rest > 0 THEN odds * (1 - chance) / (odds * (1 - chance) + chance) END AS rk FROM e),
-g AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rk, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
-  FROM f WHERE rk IS NOT NULL)
-SELECT f.doc_id, f.size, f.source_size, f.target,
-  CAST(CASE WHEN f.size > 0 THEN f.size * (f.whole + CASE WHEN g.at + f.size / 2.0 <= f.rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
-FROM f LEFT JOIN g ON f.doc_id = g.doc_id
+g AS (SELECT *, CASE WHEN rk IS NOT NULL THEN coalesce(sum(size) OVER (PARTITION BY source, rk IS NULL ORDER BY rk, doc_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS at FROM f)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN at + size / 2.0 <= rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
+FROM g
 """
 
 _OP10_SQL = r"""

@@ -82,15 +82,50 @@ def test_taken_words_meet_the_targets(spark):
     assert other != again
 
 
+def slope_of(sizes, rest):
+    """By making certain whoever exceeds 1, until nobody does."""
+    free, left = list(sizes), rest
+    while True:
+        slope = left / sum(int(s**0.5 * 1024) / 1024 * s for s in free)
+        over = [s for s in free if slope * s**0.5 > 1]
+        if not over:
+            return slope
+        free = [s for s in free if slope * s**0.5 <= 1]
+        left -= sum(over)
+
+
+def test_odds_add_up_under_caps(spark):
+    """Few very long documents are certain, and the short ones make up for the odds these cannot use."""
+    rows = [(i, "w " * (4000 if i < 3 else 1 + i % 5), "a") for i in range(900)] + [(1000 + i, "w " * 20, "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = [r for r in mixing.mix_plan(docs, weights=(3, 2)).collect() if r["source"] == "a"]
+    target, whole = plan[0]["target"], int(plan[0]["target"] // plan[0]["source_size"])
+    rest = target - whole * plan[0]["source_size"]
+    slope = slope_of([r["size"] for r in plan], rest)
+    assert slope * 4000**0.5 > 1 and abs(sum(min(1, slope * r["size"] ** 0.5) * r["size"] for r in plan) - rest) < 0.05 * rest
+    assert abs(sum(r["size"] * r["copies"] for r in plan) - target) <= 4000
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_repeated_ids_are_drawn_one_by_one(spark, doc_id):
+    rows = [(doc_id, "w " * 10, "a") for _ in range(150)] + [(doc_id, "v " * 10, "a") for _ in range(50)] + [(doc_id, "w " * 10, "b") for _ in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.mix_plan(docs).collect()
+    assert len(plan) == 400
+    for out in (Counter({s: sum(r["size"] * r["copies"] for r in plan if r["source"] == s) for s in "ab"}), Counter({r["source"]: 10 * r["count"] for r in mixing.mix(docs).groupBy("source").count().collect()})):
+        for r in plan:
+            assert abs(out[r["source"]] - r["target"]) <= 10
+
+
 def test_rank_order_decides(spark):
     """The cut through two levels of cells takes what a plain sort would take."""
     docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "a" if i % 4 else "b") for i in range(300)], "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in mixing.mix_plan(docs, weights=(1, 3)).collect()}
-    u = {i: (int(hashlib.md5(f"{i}:17".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in got}
+    u = {i: (int(hashlib.md5(f"{i}:17:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in got}
     for s in ("a", "b"):
         mine = [r for r in got.values() if r["source"] == s]
         rest = mine[0]["target"] - int(mine[0]["target"] // mine[0]["source_size"]) * mine[0]["source_size"]
-        slope = rest * 1024 / sum(int(r["size"] ** 0.5 * 1024) * r["size"] for r in mine)
+        slope = slope_of([r["size"] for r in mine], rest)
         chance = {r["doc_id"]: min(1.0, slope * r["size"] ** 0.5) for r in mine}
         order = sorted(mine, key=lambda r: (u[r["doc_id"]] / (1 - u[r["doc_id"]]) * (1 - chance[r["doc_id"]]) / chance[r["doc_id"]], r["doc_id"]))
         at, drawn = 0, set()
