@@ -1,13 +1,8 @@
-import subprocess
-import sys
 from collections import Counter
-from pathlib import Path
 
 import corpus_pipeline
 from docjson.llm.store import materialise
 
-ROOT = Path(__file__).resolve().parent.parent.parent
-
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -32,20 +27,6 @@ def test_stages(spark, sf):
     assert counts[1] <= counts[0] and counts[2] < counts[1]
 
 
-def test_the_rest_stands_alone(tmp_path):
-    """Without this subpackage and the pipeline, the entry point has its other queries."""
-    code = (
-        "import sys, importlib.util as u\n"
-        "real = u.find_spec\n"
-        "u.find_spec = lambda n, p=None: None if n.startswith(('docjson.llm', 'corpus_pipeline')) else real(n, p)\n"
-        "import __spark_entry__ as e\n"
-        "q, o = e.queries(), e.oracle_sql()\n"
-        "assert len(q) > 50 and not any(k.startswith('op') or k == 'pipeline' for k in q) and set(o) <= set(q)\n"
-        "assert not any(m.startswith('docjson.llm') for m in sys.modules)\n"
-    )
-    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
-
-
 def test_every_operator_has_a_query():
     from docjson.llm.queries import QUERIES
 
