@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -200,9 +201,13 @@ _PIECES_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length"
 def _tokenise(path: str, end_id: int, first: np.ndarray, ways: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
+        context = TaskContext.get()
+        seen = (context.partitionId() if context else 0) << 40
         for batch in batches:
             doc_ids = batch.column(0)
-            numbers = np.asarray(doc_ids.fill_null(-1)).astype(np.int64)
+            # Rows without an id are told apart by their place, or all of them would go to one partition of their cell.
+            numbers = np.where(np.asarray(doc_ids.is_valid()), np.asarray(doc_ids.fill_null(0)).astype(np.int64), -1 - seen - np.arange(len(doc_ids)))
+            seen += len(doc_ids)
             for at, data, offsets in text_slices(batch.column(1), 3 << 20):
                 keys = curve_keys(data, offsets)
                 cell = keys >> (DIMS * BITS - CELL_BITS)
@@ -293,7 +298,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, p
     full. A partition's last sequence is cut at powers of two, which need no padding; so no sequence does.
 
     The curve is range-partitioned from the bytes of text in each of its 4,096 cells, a table of fixed size. A cell that
-    is too heavy for a partition, such as one large group of copies, is dealt by a hash of the id over several.
+    is too heavy for a partition, such as one large group of copies, is dealt over several by a hash of the id, or of the place
+    of a row that has none.
 
     Args:
         docs: needs ``doc_id`` (whole numbers) and ``text``; other columns are ignored.
