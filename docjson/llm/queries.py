@@ -110,9 +110,9 @@ e AS (SELECT d.doc_id, d.no, d.size, q.source, q.source_size, q.target, q.whole,
     least(1.0, coalesce(k.slope, 0.0) * sqrt(CAST(size AS DOUBLE))) AS chance
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source),
 f AS (SELECT *, CASE WHEN size > 0 AND rest > 0 THEN odds * (1 - chance) / (odds * (1 - chance) + chance) END AS rk FROM e),
-g AS (SELECT *, CASE WHEN rk IS NOT NULL THEN coalesce(sum(size) OVER (PARTITION BY source, rk IS NULL ORDER BY rk, doc_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS at FROM f)
+g AS (SELECT *, CASE WHEN rk IS NOT NULL THEN coalesce(sum(size) OVER (PARTITION BY source, rk IS NULL ORDER BY rk, doc_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS reach FROM f)
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN at + size / 2.0 <= rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
+  CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN reach + size / 2.0 <= rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
 FROM g
 """
 
