@@ -117,18 +117,20 @@ FROM g
 """
 
 _OP10_SQL = r"""
-WITH e AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+WITH RECURSIVE e AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM e),
 m AS (SELECT doc_id, pos, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l),
-k AS (SELECT *, string_split(masked, ' ') AS t, len(string_split(masked, ' ')) AS n, string_split(masked, ' ')[1:3] AS lead FROM m),
-c AS (SELECT * FROM k WHERE n >= 4),
-f AS (SELECT n, lead, masked, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM c GROUP BY n, lead, masked),
-h AS (SELECT *, first_value(masked) OVER w AS head, first_value(t) OVER w AS ht
-  FROM f WINDOW w AS (PARTITION BY n, lead ORDER BY docs DESC, masked DESC)),
-v AS (SELECT n, lead, masked, CASE WHEN len(list_filter(list_zip(t, ht), lambda x: x[1] = x[2])) / n >= 0.6 THEN head ELSE masked END AS template FROM h),
-j AS (SELECT c.doc_id, c.pos, v.n, v.lead, v.template FROM c JOIN v ON c.n = v.n AND c.lead = v.lead AND c.masked = v.masked),
-o AS (SELECT n, lead, template FROM j GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 4),
-g AS (SELECT DISTINCT j.doc_id, j.pos FROM j JOIN o ON j.n = o.n AND j.lead = o.lead AND j.template = o.template),
+c AS (SELECT * FROM m WHERE len(string_split(masked, ' ')) >= 4),
+f AS (SELECT masked, string_split(masked, ' ') AS t, count(DISTINCT doc_id) AS docs FROM c GROUP BY masked),
+v(masked, t, docs, turn, template) AS (
+  SELECT masked, t, docs, 1, CASE WHEN len(list_filter(list_zip(t, string_split(head, ' ')), lambda x: x[1] = x[2])) / len(t) >= 0.6 THEN head END
+  FROM (SELECT *, first_value(masked) OVER (PARTITION BY len(t), t[1:3] ORDER BY docs DESC, masked DESC) AS head FROM f)
+  UNION ALL
+  SELECT masked, t, docs, turn + 1, CASE WHEN len(list_filter(list_zip(t, string_split(head, ' ')), lambda x: x[1] = x[2])) / len(t) >= 0.6 THEN head END
+  FROM (SELECT *, first_value(masked) OVER (PARTITION BY len(t), t[1:3 * CAST(2 ** (turn // 8) AS BIGINT)] ORDER BY docs DESC, masked DESC) AS head FROM v WHERE template IS NULL)),
+j AS (SELECT c.doc_id, c.pos, v.template FROM c JOIN v ON c.masked = v.masked WHERE v.template IS NOT NULL),
+o AS (SELECT template FROM j GROUP BY template HAVING count(DISTINCT doc_id) >= 4),
+g AS (SELECT DISTINCT j.doc_id, j.pos FROM j JOIN o ON j.template = o.template),
 d AS (SELECT doc_id, count(*) AS n_dropped FROM g GROUP BY doc_id),
 r AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos WHERE g.pos IS NULL GROUP BY l.doc_id)
 SELECT e.doc_id, coalesce(r.text, '') AS text, CAST(len(e.parts) AS BIGINT) AS n_lines, CAST(coalesce(d.n_dropped, 0) AS BIGINT) AS n_dropped

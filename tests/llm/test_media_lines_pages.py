@@ -93,7 +93,7 @@ def test_common_lines(a, b):
 
 def text(source, other=None):
     page = html_extract.Page(1, "http://h/a", html_extract.parse(source))
-    return html_extract.main_text(page, html_extract.Page(2, "http://h/b", html_extract.parse(other)) if other else None)[0]
+    return html_extract.main_text(page, *([html_extract.Page(2, "http://h/b", html_extract.parse(other))] if other else []))[0]
 
 
 @pytest.mark.parametrize(
@@ -113,6 +113,9 @@ def text(source, other=None):
         ("plain text", "plain text"),
         ("<p>a&nbsp; \n b</p>", "a b"),
         ("<div class=sidebar><div>x</div></div><p>y</p>", "y"),
+        ("<p>Hello <span class='ad'>Buy now</span> world</p>", "Hello world"),
+        ("<p>a<span class='ad'>buy <span>it</span> now</span>b <span>c <i>d</i></span></p>", "ab c d"),
+        ("<article><p class='search-note'>x</p><div class='reply-to-critics'>y</div><div class='comment-list'>no</div><math><mi>z</mi></math></article>", "x y z"),
         ("<div class='page has-sidebar'><article><p>x</p></article><div class='main sidebar'>z</div></div>", "x"),
     ],
 )
@@ -128,6 +131,25 @@ def test_difference_deletes_template_lines_and_spares_articles():
     assert text(art, "<article><p>quoted line</p><p>other</p></article>") == "quoted line mine"
 
 
+def site(n, host="site", copies=()):
+    """Pages of one host without any mark of structure: a template around a story, with a sentence that two stories quote."""
+    body = lambda i: f"<div>Site {host}</div><div>Home News Sport</div><div>story {i} of {host} told at length</div>{'<div>a quoted line</div>' if i in (3, 4) else ''}<div>All rights reserved</div>"
+    rows = [(i, f"https://{host}.org/x/{i:04}", body(i)) for i in range(n)]
+    return rows + [(n + k, f"https://{host}.org/x/{i:04}?again={k}", body(i)) for k, i in enumerate(copies)]
+
+
+def test_differencing_decides_where_nothing_is_marked(spark):
+    rows = site(40, copies=(7, 7, 7, 12)) + site(300, "large") + site(1, "alone")
+    docs = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    told = {parts: {r["page_id"]: (r["text"], r["n_deleted"]) for r in html_extract.extract(docs, parts).collect()} for parts in (1, 3, 12)}
+    assert told[1] == told[3] == told[12] and len(told[1]) == len(rows)
+    for k, (i, url, _) in enumerate(rows[:-1]):
+        host, number = ("site" if k < 44 else "large"), int(url.split("?")[0][-4:])
+        quote = " a quoted line" if number in (3, 4) else ""
+        assert told[1][k] == (f"story {number} of {host} told at length{quote}", 3)
+    assert told[1][len(rows) - 1] == ("Site alone Home News Sport story 0 of alone told at length All rights reserved", 0)
+
+
 def test_pages(spark):
     page = lambda i, body: f"<div>Site name</div><div>{body}</div><div>Imprint</div>"
     rows = [(i, f"https://www.host{'a' if i < 6 else 'b'}.org/x/{i}?q=1", page(i, f"story {i}")) for i in range(9)]
@@ -140,6 +162,20 @@ def test_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_every_family_of_a_leaf_has_a_template(spark):
+    """Six families with one token count and one beginning, whose variable words, early or late, have no digit."""
+    words = lambda k: chr(97 + k) * 3
+    rows, at = [], 0
+    for f in range(6):
+        fixed = " ".join(f"fix{words(f)}{words(j)}" for j in range(5))
+        for k in range(5 + f):
+            rows.append((at, f"one two three {words(k)} {fixed} {words(k + 9)}" if f % 2 else f"one two three {fixed} {words(k)} {words(k + 9)}"))
+            at += 1
+    rows.append((at, "one two three four five six seven eight nine ten"))
+    got = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i < at) for i, _ in rows}
+
+
 def test_lines_equal_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
