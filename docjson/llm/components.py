@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import discard, materialise
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = _ordered(large)
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = materialise(_ordered(small), "edges")
+        before, now = now, materialise(_ordered(small), "edges")
+        discard(before)
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break

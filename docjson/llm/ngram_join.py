@@ -534,7 +534,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     Defined cases: null, empty and blank texts have 0 shingles and link with nothing. A null ``doc_id`` keeps its row, with
     a null component, and links with nothing. Repeated rows are rows of one component; should rows with one id have
-    different texts, the id stands for all of their shingles. A text of any length is one set. An empty table gives an
+    different texts, they are one set that holds the shingles of all and counts as large as the largest. A text of any length is one set. An empty table gives an
     empty result. Tokens are 64-bit hashes cut to 48 bits and their owner, so a set may in theory gain a shared token
     by accident; the chance for a pair of 1,000-word texts is below 1e-8.
     """

@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIRS: dict[str, str] = {}
+_PATHS: dict[int, tuple[str, weakref.ref]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +31,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs a re-read instead of a recomputation, and a table with several readers is computed once.
-    The files go when the application ends.
+    The files go when the application ends, or with :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(made)] = path, weakref.ref(made)
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`materialise` made, once nothing will read it any more."""
+    path, made = _PATHS.pop(id(df), (None, None))
+    if path is not None and made() is df:
+        _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
