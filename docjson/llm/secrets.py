@@ -8,6 +8,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,14 +60,31 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _RUN.finditer(text) if _is_candidate(m[0])]
 
 
-def uncovered(text: str, start: int, end: int, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """The parts of a run that no span covers and that are candidates by themselves."""
-    out, at = [], start
-    for _, a, b in sorted(spans, key=lambda s: s[1]):
-        if a < end and b > at:
-            out.append((at, a))
-            at = max(at, b)
-    return [(a, b) for a, b in [*out, (at, end)] if b - a >= 8 and _is_candidate(text[a:b])]
+class Covered:
+    """Where any span of a text is, as disjoint stretches; looked up by place."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+    def rest(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """The parts of a run that are not covered and are candidates by themselves."""
+        out, at, i = [], start, bisect_right(self.ends, start)
+        while i < len(self.starts) and self.starts[i] < end:
+            out.append((at, self.starts[i]))
+            at = self.ends[i]
+            i += 1
+        return [(a, b) for a, b in [*out, (at, end)] if b - a >= 8 and _is_candidate(text[a:b])]
 
 
 def pieces(start: int, end: int) -> list[tuple[int, int]]:
@@ -212,18 +230,21 @@ def invented_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]
         lambda: some(string.digits, 16), lambda: f"{word()}.{r.randint(10, 99)}@mail{r.randint(0, 9)}.example.com", lambda: f"{word()}{r.randint(1, 999)}.{word()}.example.org",
         lambda: f"{word()}-{word()}-{word()}-{r.randint(1, 99)}-{word()}", lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}-{word()}-{word()}", lambda: f"{word()}/{word()}/{word()}{r.randint(0, 9)}/{word()}",
         lambda: ".".join(str(r.randint(10, 255)) for _ in range(5)), lambda: some(string.digits, r.randint(17, 24)), lambda: f"{word().title()}{word()}{word()}{word()}{r.randint(1, 9)}" + "=" * r.randint(0, 9),
+        lambda: f"{word()}{word()}{r.randint(10, 99999)}", lambda: f"{word()}{word().title()}{word().title()}", lambda: "".join(word() for _ in range(r.randint(3, 8))), lambda: "".join(word() for _ in range(r.randint(2, 5))).upper(),
+        lambda: f"{word()}_{word()}_{word()}", lambda: f"{word()}{word()}={r.randint(0, 9999)}.{r.randint(0, 99)}",
     ]
+    near = lambda: r.choice(others)() if r.random() < 0.3 else word()  # noqa: E731 (look-alikes come in rows)
     names = ["key", "auth", "bearer", "client_secret", "credential", "access", "pwd", "token", "secret"]
     out = []
     for i in range(n):
         label = i % 2
         inner = r.choice(keys if label else others)()
-        lead = " ".join(word() for _ in range(r.randint(0, 5)))
+        lead = " ".join(near() for _ in range(r.randint(0, 5)))
         if label and r.random() < 0.5:
             lead += f" {r.choice(names)}{r.choice([' = ', '=', ': ', ' '])}{r.choice(['', chr(34)])}"
         elif lead:
             lead += " "
-        tail = r.choice(["", " ", '"', "###", "!!", "."]) + " ".join(word() for _ in range(2))
+        tail = r.choice(["", " ", '"', "###", "!!", "."]) + " ".join(near() for _ in range(2))
         out.append((lead + inner + tail, len(lead), len(lead) + len(inner), label))
     return out
 
@@ -242,9 +263,9 @@ def labelled_windows(docs: DataFrame, most_each: int = 600) -> tuple[np.ndarray,
                 spots = candidates(text or "")
                 if not spots:
                     continue
-                sure = base_spans(text)
+                sure = Covered(base_spans(text))
                 for a, b in (p for spot in spots for p in pieces(*spot)):
-                    label = int(any(s < b and a < e for _, s, e in sure))
+                    label = int(sure.touches(a, b))
                     w = window(text, a, b)
                     best[label][int.from_bytes(hashlib.blake2b(w.tobytes(), digest_size=7).digest())] = w.tolist()
                 for label, kept in best.items():
@@ -264,7 +285,7 @@ def labelled_windows(docs: DataFrame, most_each: int = 600) -> tuple[np.ndarray,
     return np.array(x, np.int64).reshape(-1, _WIDTH), np.array(y, np.float32)
 
 
-def fit(docs: DataFrame, most_each: int = 600, invented: int = 1200, recall: float = 0.98) -> Network:
+def fit(docs: DataFrame, most_each: int = 600, invented: int = 2400, recall: float = 0.98) -> Network:
     """A network from the corpus' own labelled findings and from invented ones.
 
     The name before a corpus finding is blanked in half of the examples, so that the network learns the look of a key
@@ -301,13 +322,15 @@ def scan(docs: DataFrame, network: Network) -> DataFrame:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
                 sure = base_spans(text)
-                found = sure + [("model", *part) for c in candidates(text) for part in uncovered(text, *c, sure)]
+                covered = Covered(sure)
+                found = sure + [("model", *part) for c in candidates(text) for part in covered.rest(text, *c)]
                 for k, a, b in found:
                     asked.append((i, k, a, b, pieces(a, b)))
-                    windows += [window(text, *p) for p in asked[-1][4]]
-                if len(windows) >= 4096:  # of a long text, no more is held
-                    scores.append(net.probability(np.stack(windows)))
-                    windows = []
+                    for piece in asked[-1][4]:
+                        windows.append(window(text, *piece))
+                        if len(windows) == 4096:  # however long a text or a run is, no more is held
+                            scores.append(net.probability(np.stack(windows)))
+                            windows = []
             if windows:
                 scores.append(net.probability(np.stack(windows)))
             p, at = np.concatenate([np.zeros(0), *scores]), 0

@@ -258,8 +258,18 @@ def test_candidates_and_windows():
         parts = secrets.pieces(5, 5 + n)
         assert parts[0][0] == 5 and parts[-1][1] == 5 + n and all(b - a == secrets.INSIDE for a, b in parts) and all(y[0] <= x[1] for x, y in zip(parts, parts[1:]))
     text = "path/to/some/place1=" + "a" * 32 + "/and/then/on1"
-    spans = [("hex", 20, 52)]
-    assert secrets.uncovered(text, 0, len(text), spans) == [(0, 20), (52, len(text))]
+    covered = secrets.Covered([("hex", 20, 52), ("assign", 18, 30), ("hex", 200, 240)])
+    assert covered.rest(text, 0, len(text)) == [(0, 18), (52, len(text))] and covered.rest(text, 20, 40) == [] and covered.rest(text, 52, 65) == [(52, 65)]
+    assert covered.touches(0, 19) and not covered.touches(0, 18) and not covered.touches(52, 200) and covered.touches(30, 31)
+
+
+def test_long_texts_full_of_findings(spark):
+    """Many findings and one run of a million characters in a text take no more than their length asks for."""
+    net = secrets.Network.new()
+    text = "token = a1b2c3d4e5 " * 20_000 + "A" * 1_000_000 + " end"
+    began = time.perf_counter()
+    spans = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).first()["spans"]
+    assert sum(s["kind"] == "assign" for s in spans) == 20_000 and time.perf_counter() - began < 120
 
 
 def test_threshold_keeps_the_recall():
@@ -275,7 +285,7 @@ def test_threshold_keeps_the_recall():
 
 def test_recall_on_findings_of_other_documents(spark):
     """Fitted on the findings in one half of a corpus, the network knows those in the other half."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     net = secrets.fit(docs.filter("doc_id % 2 = 0"))
     x, y = secrets.labelled_windows(docs.filter("doc_id % 2 = 1"), 5000)
     p = net.probability(x)
