@@ -263,7 +263,7 @@ _GUARDED = {
 def _guard_query(ops: str, marker: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         got = patch.patch_documents(_customers(spark, sf).withColumn("patches", F.lit(f"[{ops}]")))
-        said = F.coalesce(F.element_at("errors", 1)["message"], F.lit("")) if marker else F.lit("")
+        said = F.coalesce(F.try_element_at("errors", F.lit(1))["message"], F.lit("")) if marker else F.lit("")
         return got.select("doc_id", "ok", F.when(said.startswith(marker), F.lit(marker)).otherwise(F.lit("")).alias("marker"))
 
     return run

@@ -38,6 +38,17 @@ def test_query_equals_sql(spark, sf, name):
     assert got == sorted(tuple(str(r[names.index(c)]) for c in columns) for r in cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["guard_remove_array"])
+def test_guards_bear_customers_without_orders(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"copy (select * from (values (1, 'a', 'X'), (2, 'b', 'Y')) c(c_custkey, c_name, c_mktsegment)) to '{tmp_path}/customer.parquet'")
+    con.execute(f"copy (select * from (values (7, 2, 'F', '5-LOW')) o(o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) to '{tmp_path}/orders.parquet'")
+    for t in ("customer", "orders"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet')")
+    got = sorted(tuple(r) for r in own.QUERIES[name](spark, str(tmp_path)).select("doc_id", "ok", "marker").collect())
+    assert got == con.execute(f"select doc_id, ok, marker from ({own.ORACLES[name]}) order by doc_id").fetchall()
+
+
 def test_scans_are_pruned_and_native(spark, sf):
     def plan(name):
         return own.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
