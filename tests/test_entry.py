@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, sf, name):
     assert got == sorted(tuple(str(r[names.index(c)]) for c in columns) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["guard_remove_array"])
+@pytest.mark.parametrize("name", [f"guard_{k}" for k in own._GUARDED])
 def test_guards_bear_customers_without_orders(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"copy (select * from (values (1, 'a', 'X'), (2, 'b', 'Y')) c(c_custkey, c_name, c_mktsegment)) to '{tmp_path}/customer.parquet'")
