@@ -7,6 +7,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import zip_longest
 from urllib.parse import urlsplit
 
@@ -41,6 +42,8 @@ _PLAIN = frozenset(
 )
 #: Neighbours on either side that are looked at, pages that a bucket is to hold, and the share of a page's characters that makes two pages copies.
 NEAR, TOGETHER, COPY = 4, 64, 0.9
+#: Neighbours that a line of an article needs against it, all that there are, and the share of an article that makes a neighbour a reprint of it.
+AGAINST, REPRINT = 3, 0.5
 #: End tags that are left out: what a start tag closes.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _PARAGRAPH_ENDS = _BLOCK - {"br", "body", "html", "button", "canvas", "option", "select", "legend", "summary", "td", "th", "li", "dd", "dt"}
@@ -48,11 +51,12 @@ _PARAGRAPH_ENDS = _BLOCK - {"br", "body", "html", "button", "canvas", "option",
 
 @dataclass
 class Line:
-    """A block's text, whether chrome surrounds it, and whether an article does."""
+    """A block's text, whether chrome surrounds it, whether an article does, and whether a name in the article may mark it as none of it."""
 
     text: str
     chrome: bool
     main: bool
+    doubt: bool = False
 
 
 @dataclass
@@ -61,6 +65,7 @@ class _Open:
     chrome: bool
     main: bool
     inline: bool
+    doubt: bool
 
 
 @dataclass
@@ -69,10 +74,20 @@ class Page:
     url: str | None
     lines: list[Line] = field(default_factory=list)
 
-    @property
+    @cached_property
     def has_main(self) -> bool:
         return any(x.main and not x.chrome for x in self.lines)
 
+    @cached_property
+    def texts(self) -> frozenset[str]:
+        return frozenset(x.text for x in self.lines)
+
+    @cached_property
+    def places(self) -> frozenset[tuple[str, int]]:
+        """The article's lines, each with its place from the article's beginning and from its end."""
+        own = [x.text for x in self.lines if x.main and not x.chrome]
+        return frozenset(found for i, x in enumerate(own) for found in ((x, i), (x, i - len(own))))
+
 
 def _names_chrome(name: str, inside: bool) -> bool:
     """Whether one class, id or role says that the element is no article; ``has-sidebar`` only says what is beside it.
@@ -83,6 +98,12 @@ def _names_chrome(name: str, inside: bool) -> bool:
     return not _MARKS.isdisjoint(words) and _BESIDE.isdisjoint(words) and (not inside or all(w in _MARKS or w in _PLAIN for w in words))
 
 
+def _may_be_chrome(attributes: str) -> bool:
+    """Whether a class, id or role has a mark beside words that are not plain, of which structure alone can't tell what they mean."""
+    names = (name for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role") for name in (m[2] or m[3] or m[4] or "").lower().split())
+    return any(_names_chrome(name, False) for name in names)
+
+
 def _marked(name: str, attributes: str, inside: bool) -> bool:
     if not attributes or name in ("html", "body") or name in _MAIN:
         return False
@@ -111,7 +132,7 @@ def parse(source: str) -> list[Line]:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                lines.append(Line(joined, any(o.chrome and not o.inline for o in stack), any(o.main for o in stack)))
+                lines.append(Line(joined, any(o.chrome and not o.inline for o in stack), any(o.main for o in stack), any(o.doubt for o in stack)))
 
     def close(names: tuple[str, ...], stop: frozenset[str]) -> None:
         nonlocal beside
@@ -164,7 +185,8 @@ def parse(source: str) -> list[Line]:
         inline = name not in _BLOCK
         # An inline element matters if it is no article's text, or if its end tag could be taken for that of one that is none.
         if not inline or chrome or opened[name]:
-            stack.append(_Open(name, chrome, main, inline))
+            doubt = inside and not inline and not main and not chrome and _may_be_chrome(m[3])
+            stack.append(_Open(name, chrome, main, inline, doubt))
             opened[name] += 1
             beside += chrome and inline
     flush()
@@ -214,15 +236,19 @@ def _path(url: str | None) -> tuple[str, list[str]]:
         return "", []
 
 
-def _copies(page: Page, other: Page) -> bool:
-    """Whether two pages share nearly all they say, menus aside: a repeated or reprinted page is no witness to a template."""
+def _share(page: Page, other: Page) -> float:
+    """Share of what a page says, menus aside, that stands on another page too."""
     mine = [x.text for x in page.lines if not x.chrome] or [x.text for x in page.lines]
-    theirs = {x.text for x in other.lines}
-    return sum(len(x) for x in mine if x in theirs) >= COPY * sum(map(len, mine))
+    return sum(len(x) for x in mine if x in other.texts) / max(sum(map(len, mine)), 1)
+
+
+def _copies(page: Page, other: Page) -> bool:
+    """Whether two pages share nearly all they say: a repeated or reprinted page is no witness to a template."""
+    return not page.lines or _share(page, other) >= COPY
 
 
 def _witnesses(page: Page, others: list[Page]) -> list[Page]:
-    """Of neighbours in URL order on the same host, nearest first by order, the two with the longest common path that are no copies."""
+    """Of neighbours in URL order on the same host, nearest first by order, those that are no copies, the longest common path first."""
     host, path = _path(page.url)
     if not host:
         return []
@@ -236,26 +262,49 @@ def _witnesses(page: Page, others: list[Page]) -> list[Page]:
     for o in fit:
         if not _copies(page, o) and not any(_copies(o, w) for w in out):
             out.append(o)
-            if len(out) == 2:
-                break
     return out
 
 
+def _against(page: Page, witnesses: tuple[Page, ...], shared: set[int]) -> set[int]:
+    """Of the lines that a page shares with the nearest one, those that are template although an article vouches for them.
+
+    Sites reprint articles and quote the same sentences, so more is asked than of other lines: at least ``AGAINST`` neighbours
+    whose articles are no reprints, all of which have the line in the same place, in an unbroken run up to the article's
+    end or down from its beginning, whose first line, the title, may differ; so bylines and notices stand. Where a name in the
+    article may mark the line as none of it, it is enough that the two nearest pages have it.
+    """
+    own = [i for i, x in enumerate(page.lines) if x.main and not x.chrome]
+    if shared.isdisjoint(own):
+        return set()
+    found = {i for i in own if i in shared and page.lines[i].doubt and all(page.lines[i].text in w.texts for w in witnesses[:2])}
+    fit = [w for w in witnesses if w.has_main and _share(page, w) < REPRINT]
+    if len(fit) < AGAINST:
+        return found
+    for places in (range(len(own)), range(-1, -len(own) - 1, -1)):
+        for k in places:
+            i = own[k]
+            if i in shared and all((page.lines[i].text, k) in w.places for w in fit):
+                found.add(i)
+            elif k:
+                break
+    return found
+
+
 def main_text(page: Page, *witnesses: Page) -> tuple[str, int, int]:
     """The page's main text, the number of its lines that the nearest page shares, and how many of those were deleted.
 
     Lines in chrome are no text of an article. Of the others, those in a common subsequence with the nearest page are template
     and go; if there is a second witness, it has to hold them too, so that a sentence that two pages quote stays. An article
-    element vouches for the lines in it: sites reprint articles and quote the same sentences, so there a shared line is no
-    proof. On a page with such an element, only what is in it counts.
+    element vouches for the lines in it, which go only on the evidence of :func:`_against`. On a page with such an element, only
+    what is in it counts.
     """
     mine = [x.text for x in page.lines]
     shared = common_lines(mine, [x.text for x in witnesses[0].lines]) if witnesses else set()
     has_main = page.has_main
-    template = set() if has_main else shared
-    for w in witnesses[1:] if template else ():
-        held = {x.text for x in w.lines}
-        template = {i for i in template if mine[i] in held}
+    if has_main:
+        template = _against(page, witnesses, shared)
+    else:
+        template = {i for i in shared if all(mine[i] in w.texts for w in witnesses[1:2])}
     kept, deleted = [], 0
     for i, x in enumerate(page.lines):
         vouched = x.main and not x.chrome

@@ -194,3 +194,27 @@ def test_variable_fields_and_odd_rows(spark, odd, empty):
     rest = [c for c in odd.columns if c != "text"]
     assert [c for c in out.columns if c not in ("text", "n_lines", "n_dropped")] == rest and out.count() == odd.count()
     assert line_templates.drop_recurring_lines(empty).count() == 0
+
+
+def test_differencing_decides_within_articles(spark):
+    """A notice and a byline in every article go; a sentence that many quote at varying places, titles and a reprint stay."""
+    words = lambda i: " ".join(f"word{i}x{k}" for k in range(12))
+    quote = "<p>a sentence that all of them quote</p>"
+    story = lambda i: f"<p>{words(i)}</p>" + (f"{quote}<p>{words(i + 100)}</p>" if i % 3 else f"<p>{words(i + 100)}</p><p>{words(i + 200)}</p>{quote}<p>{words(i + 300)}</p>")
+    page = lambda i: f"<article><h1>Title {i}</h1><p>By the staff</p>{story(i)}<p>Write to us</p></article>"
+    rows = [(i, f"http://many.org/a/{i:03}", page(i)) for i in range(20)]
+    rows += [(30 + i, f"http://two.org/a/{i:03}", page(i)) for i in range(3)]
+    rows += [(40 + i, f"http://reprints.org/a/{i:03}", f"<article><p>{words(1)}</p><p>{words(2)}</p><p>{words(i + 10)}</p></article>") for i in range(9)]
+    told = {parts: {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), parts).collect()} for parts in (1, 5)}
+    assert told[1] == told[5] and len(told[1]) == len(rows)
+    whole = {i: html_extract.main_text(html_extract.Page(i, u, html_extract.parse(s)))[0] for i, u, s in rows}
+    for i, want in whole.items():
+        assert told[1][i] == (want.replace("By the staff ", "").replace(" Write to us", "") if i < 20 else want)
+
+
+def test_differencing_decides_on_doubtful_names_in_articles():
+    page = lambda own, kind: f"<article><p>{own}</p><div class='{kind}'>one and the same</div><div class='reply-to-critics'>reply of {own}</div></article>"
+    read = lambda own, kind: html_extract.Page(1, "http://h/a", html_extract.parse(page(own, kind)))
+    for kind, want in (("subscribe-now-please", "a reply of a"), ("quotation", "a one and the same reply of a")):
+        assert html_extract.main_text(read("a", kind), read("b", kind), read("c", kind))[0] == want
+    assert html_extract.main_text(read("a", "subscribe-now-please"))[0] == "a one and the same reply of a"
