@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import materialise
 from .text_hash import mix64, shingles, word_hashes
+from .worker import trimmed
 
 #: Tokens that a task holds before it sends them off.
 HELD = 2_000_000
@@ -109,6 +110,7 @@ def _find_often(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     total = rows.count()
     fraction = min(1.0, SAMPLE / max(total, 1))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -139,6 +141,7 @@ def _find_often(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _send_tokens(parts: int, k: int, often: np.ndarray, counts: np.ndarray):
     """Texts to packed tokens by owner, and each row's id, set size and set digest; tokens of very many sets go straight home."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tokens, ids, sizes
         amount = 0
@@ -201,6 +204,7 @@ def _send_tokens(parts: int, k: int, often: np.ndarray, counts: np.ndarray):
 def _count_tokens(parts: int):
     """At a token's owner: the tokens of two or more sets, with how many, packed by the home of the set."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: dict[int, list[tuple[bytes, bytes, bytes, bytes]]] = {}
         for batch in batches:
@@ -239,6 +243,7 @@ def _count_tokens(parts: int):
 def _build_sets(num: int, den: int):
     """At a set's home: its shared tokens and which of them stand in its prefix."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, runs, tokens, often, meta = [], [], [], [], []
         for batch in batches:
@@ -369,6 +374,7 @@ def _form_groups(num: int, den: int):
     cluster that fills more than one group.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, heads, done = None, [], []
         for batch in batches:
@@ -400,6 +406,7 @@ def _link_heads(num: int, den: int):
     """Heads in order of other min-hashes: links to the heads seen last under the same key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, heads = None, []
         for batch in batches:
@@ -502,6 +509,7 @@ def _open_blocks(num: int, den: int, pairs: bool):
                     forest.join(x, y)
         return out
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

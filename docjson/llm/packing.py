@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .text_hash import hash_spans, mix64, text_slices, word_bounds
+from .worker import trimmed
 
 #: Dimensions and bits each of the curve; its leading bits name the cells that are dealt to partitions.
 DIMS, BITS, CELL_BITS = 3, 8, 12
@@ -24,6 +25,8 @@ _PRETOKEN = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_S
 _PLAIN = regex.compile("[\\n\\x21-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž]+")
 #: Words that a worker remembers.
 _CACHE = 300_000
+#: What :func:`word_bounds` returns.
+Words = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _byte_letters() -> list[str]:
@@ -92,9 +95,9 @@ class WordEncoder:
         done = iter(self._plain("\n".join(plain)) if plain else [])
         return [self._whole(w) if i in odd else next(done) for i, w in enumerate(words)]
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and the bounds of each text's."""
-        starts, ends, rows = word_bounds(data, offsets)
+        starts, ends, rows = words or word_bounds(data, offsets)
         hashes, first, which = np.unique(hash_spans(data, starts, ends, lower=False), return_index=True, return_inverse=True)
         keys, raw = hashes.tolist(), data.tobytes()
         ids = list(map(self.words.get, keys))
@@ -150,9 +153,9 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def curve_keys(data: np.ndarray, offsets: np.ndarray, words: Words | None = None) -> np.ndarray:
     """Hilbert keys of texts: hashed bags of words under a random projection, each axis spread evenly over its cells."""
-    starts, ends, rows = word_bounds(data, offsets)
+    starts, ends, rows = words or word_bounds(data, offsets)
     h = hash_spans(data, starts, ends)
     n_rows = len(offsets) - 1
     count = np.maximum(np.bincount(rows, minlength=n_rows), 1)
@@ -165,6 +168,7 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hilbert_key(np.column_stack(axes), BITS)
 
 
+@trimmed
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of text in each cell of the curve: one row per cell and task."""
     total = np.zeros(1 << CELL_BITS)
@@ -199,6 +203,7 @@ _PIECES_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length"
 
 
 def _tokenise(path: str, end_id: int, first: np.ndarray, ways: np.ndarray):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         context = TaskContext.get()
@@ -208,13 +213,14 @@ def _tokenise(path: str, end_id: int, first: np.ndarray, ways: np.ndarray):
             # Rows without an id are told apart by their place, or all of them would go to one partition of their cell.
             numbers = np.where(np.asarray(doc_ids.is_valid()), np.asarray(doc_ids.fill_null(0)).astype(np.int64), -1 - seen - np.arange(len(doc_ids)))
             seen += len(doc_ids)
-            for at, data, offsets in text_slices(batch.column(1), 3 << 20):
-                keys = curve_keys(data, offsets)
+            for at, data, offsets in text_slices(batch.column(1)):
+                words = word_bounds(data, offsets)
+                keys = curve_keys(data, offsets, words)
                 cell = keys >> (DIMS * BITS - CELL_BITS)
                 n_rows = len(offsets) - 1
                 tie = mix64(numbers[at : at + n_rows].astype(np.uint64)) >> np.uint64(1)
                 part = first[cell] + (tie % ways[cell].astype(np.uint64)).astype(np.int64)
-                ids, bounds = encoder.encode(data, offsets)
+                ids, bounds = encoder.encode(data, offsets, words)
                 blobs = [np.append(ids[bounds[r] : bounds[r + 1]], np.uint16(end_id)).tobytes() for r in range(n_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part, pa.int32()), pa.array(keys), pa.array(tie.astype(np.int64)), doc_ids.slice(at, n_rows), pa.array(np.diff(bounds) + 1, pa.int64()), pa.array(blobs, pa.binary())],
@@ -262,6 +268,7 @@ class _Sequence:
 
 
 def _pack(length: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Sequence | None = None
         out: list[tuple] = []

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
+from .worker import trimmed
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = range(3, 9)
@@ -113,6 +114,7 @@ def probability(weights: tuple[float, ...], best: np.ndarray, total: np.ndarray,
     return 1 / (1 + np.exp(-np.clip(_inputs(best, total, n) @ np.asarray(weights), -30, 30)))
 
 
+@trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each feature in toxic and in other texts, a word once a text: what one text repeats is no evidence. Partial counts."""
     counts: dict[str, list[int]] = {}
@@ -193,6 +195,7 @@ def _spread(words: DataFrame, model: Model) -> dict[float, float]:
     """How much of the other texts, prior included, has each score, to a hundredth."""
     dumped = model.dump()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, seen = _load(dumped), {}
         for batch in batches:
@@ -223,6 +226,7 @@ def _surprises(sample: DataFrame, model: Model) -> DataFrame:
     """``y, best, n, rated``: label, largest surprise, words, and all surprises of each labelled text."""
     dumped = model.dump()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _load(dumped)
         for batch in batches:
@@ -266,6 +270,7 @@ def score(docs: DataFrame, model: Model, without_text: bool = False) -> DataFram
     dumped = model.dump()
     keep = [c for c in docs.columns if c not in ("score", "n_passages", "best", "passages")]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _load(dumped)
         out = [c for c in keep if not (without_text and c == "text")]
