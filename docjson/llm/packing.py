@@ -24,7 +24,7 @@ _PRETOKEN = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_S
 #: Words whose split and lower case need no Unicode tables: printable ASCII and Latin letters up to U+017F.
 _PLAIN = regex.compile("[\\n\\x21-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž]+")
 #: Words that a worker remembers.
-_CACHE = 300_000
+_CACHE = 600_000
 #: What :func:`word_bounds` returns.
 Words = tuple[np.ndarray, np.ndarray, np.ndarray]
 
